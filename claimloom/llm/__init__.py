@@ -1,0 +1 @@
+"""Training-data operators: scoring, filtering, de-duplication and mixing of text corpora."""

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from .line_dedup import op7_line_dedup
+from .mixing import op2_mixing
 from .quality import op10_quality
 from .simhash import op3_simhash
+from .url_filter import OP5_SQL, op5_url_filter
 
 QUERIES = {
+    "op2_mixing": op2_mixing,
     "op3_simhash": op3_simhash,
+    "op5_url_filter": op5_url_filter,
+    "op7_line_dedup": op7_line_dedup,
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_url_filter": OP5_SQL}

@@ -6,11 +6,13 @@ from .line_dedup import op7_line_dedup
 from .mixing import op2_mixing
 from .quality import op10_quality
 from .simhash import op3_simhash
+from .toxicity import op4_toxicity
 from .url_filter import OP5_SQL, op5_url_filter
 
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_simhash": op3_simhash,
+    "op4_toxicity": op4_toxicity,
     "op5_url_filter": op5_url_filter,
     "op7_line_dedup": op7_line_dedup,
     "op10_quality": op10_quality,

@@ -1 +1,8 @@
 """Training-data operators: scoring, filtering, de-duplication and mixing of text corpora."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors by value, which need not have it installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from .decontaminate import op6_decontaminate
 from .line_dedup import op7_line_dedup
+from .minhash import op8_minhash
 from .mixing import op2_mixing
+from .pii import op9_pii
 from .quality import op10_quality
 from .simhash import op3_simhash
 from .toxicity import op4_toxicity
@@ -14,7 +17,10 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_toxicity": op4_toxicity,
     "op5_url_filter": op5_url_filter,
+    "op6_decontaminate": op6_decontaminate,
     "op7_line_dedup": op7_line_dedup,
+    "op8_minhash": op8_minhash,
+    "op9_pii": op9_pii,
     "op10_quality": op10_quality,
 }
 

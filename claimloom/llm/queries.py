@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op6_decontaminate
 from .line_dedup import op7_line_dedup
 from .minhash import op8_minhash
+from .lm import op1_lm
 from .mixing import op2_mixing
 from .pii import op9_pii
 from .quality import op10_quality
@@ -13,6 +14,7 @@ from .toxicity import op4_toxicity
 from .url_filter import OP5_SQL, op5_url_filter
 
 QUERIES = {
+    "op1_lm": op1_lm,
     "op2_mixing": op2_mixing,
     "op3_simhash": op3_simhash,
     "op4_toxicity": op4_toxicity,

@@ -65,25 +65,27 @@ class Templates:
         self.kind.append(kind), self.hash.append(_hash(low)), self.ends.append(bool(re.search(r"[.!?:]\W*$", word)))
         return n
 
-    def read(self, text: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """The words that count, their kinds (0: literal) and their hashes as template tokens."""
+    def read(self, texts: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+        """For each text the words that count, their kinds (0: literal) and their hashes as template
+        tokens. The words of many texts are looked up before the tables become arrays."""
         if len(self.kind) > self.most:
             self.clear()
-        parts = []
-        for k, line in enumerate(text.split(b"\n")):
-            parts += [b"\n"] * (k > 0) + line.split()
-        of = self.of
-        at = np.fromiter((of[w] if w in of else self._add(w) for w in parts), np.int64, len(parts))
-        if len(self.kind) != getattr(self, "_n", -1):
-            self._kind, self._hash, self._ends, self._n = np.array(self.kind, np.int8), np.array(self.hash, np.uint64), np.array(self.ends, bool), len(self.kind)
-            self._line = self.of.get(b"\n", -1)
-        kind, h = self._kind[at], self._hash[at]
-        opens = np.ones(len(at), bool)  # a capital there is no name
-        opens[1:] = self._ends[at[:-1]] | (at[:-1] == self._line)
-        kind = np.where((kind == _CAP) & opens, _LITERAL, kind)
-        use = np.flatnonzero(kind != _SKIP)
-        kind, h = kind[use], h[use]
-        return [parts[i] for i in use] if len(use) != len(parts) else parts, kind, np.where(kind == _LITERAL, h, self.tags[np.minimum(kind, 3)])
+        split, of = [], self.of
+        line = of[b"\n"] if b"\n" in of else self._add(b"\n")
+        for text in texts:
+            parts: list[bytes] = []
+            for k, row in enumerate(text.split(b"\n")):
+                parts += [b"\n"] * (k > 0) + row.split()
+            split.append((parts, np.fromiter((of[w] if w in of else self._add(w) for w in parts), np.int64, len(parts))))
+        kinds, hashes, ends = np.array(self.kind, np.int8), np.array(self.hash, np.uint64), np.array(self.ends, bool)
+        for parts, at in split:
+            kind, h = kinds[at], hashes[at]
+            opens = np.ones(len(at), bool)  # a capital there is no name
+            opens[1:] = ends[at[:-1]] | (at[:-1] == line)
+            kind = np.where((kind == _CAP) & opens, _LITERAL, kind)
+            use = np.flatnonzero(kind != _SKIP)
+            kind, h = kind[use], h[use]
+            yield [parts[i] for i in use] if len(use) != len(parts) else parts, kind, np.where(kind == _LITERAL, h, self.tags[np.minimum(kind, 3)])
 
     @staticmethod
     def windows(kind: np.ndarray, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,20 +111,22 @@ def _window_rows(df: DataFrame, key: str, sizes: list[int] | None, filled: np.nd
         read = Templates()
         for b in batches:
             cols: list[list] = [[], [], [], [], [], []]
-            for who, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                parts, kind, h = read.read(text.as_buffer().to_pybytes() if text.is_valid else b"")
-                for size in sizes or [min(WINDOW, len(h))]:
-                    at, x = read.windows(kind, h, size) if size else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-                    n = len(at)
-                    if filled is not None:
-                        hit = bloom.probe(filled, x)
-                        at, x = at[hit], x[hit]
-                    for p, v in zip(at.tolist(), x.view(np.int64).tolist(), strict=True):
-                        w = [_EDGE.sub("", parts[i].decode("utf-8", "replace")).lower() for i in range(p, p + size)]
-                        k = kind[p : p + size].tolist()
-                        row = (who, p, n, v, " ".join(_TAG[t] or s for s, t in zip(w, k, strict=True)), [s for s, t in zip(w, k, strict=True) if t])
-                        for c, value in zip(cols, row, strict=True):
-                            c.append(value)
+            for first in range(0, len(b), 512):
+                some = b.slice(first, 512)
+                texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in some.column(1)]
+                for who, (parts, kind, h) in zip(some.column(0).to_pylist(), read.read(texts), strict=True):
+                    for size in sizes or [min(WINDOW, len(h))]:
+                        at, x = read.windows(kind, h, size) if size else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+                        n = len(at)
+                        if filled is not None:
+                            hit = bloom.probe(filled, x)
+                            at, x = at[hit], x[hit]
+                        for p, v in zip(at.tolist(), x.view(np.int64).tolist(), strict=True):
+                            w = [_EDGE.sub("", parts[i].decode("utf-8", "replace")).lower() for i in range(p, p + size)]
+                            k = kind[p : p + size].tolist()
+                            row = (who, p, n, v, " ".join(_TAG[t] or s for s, t in zip(w, k, strict=True)), [s for s, t in zip(w, k, strict=True) if t])
+                            for c, value in zip(cols, row, strict=True):
+                                c.append(value)
             types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [key, "pos", "n_windows", "h", "template", "slots"])
 

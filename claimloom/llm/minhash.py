@@ -112,8 +112,12 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     ladder = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else None
     # binary search: how many cuts are at or below the id
     bucket = F.lit(0)
-    for s in reversed(range(steps)):
-        bucket = _let(bucket, lambda lo, s=s: F.when(F.get(ladder, lo + ((1 << s) - 1)) <= key, lo + (1 << s)).otherwise(lo))
+
+    def step(lo: Column, half: Column) -> Column:
+        return F.when(F.get(ladder, lo + half - 1) <= key, lo + half).otherwise(lo)
+
+    if steps:
+        bucket = F.aggregate(F.array(*[F.lit(1 << s) for s in reversed(range(steps))]), bucket, step)
     d = docs.withColumn("_b", bucket)
     firsts = sorted((r[0], r[1]) for r in d.groupBy("_b").agg(F.min(key)).collect())  # a row a bucket
     guests = [(first, firsts[i - 1][0], int(i == 0)) for i, (_, first) in enumerate(firsts)]

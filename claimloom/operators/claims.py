@@ -48,7 +48,7 @@ def blocks(docs: DataFrame, key: str = "run_id") -> DataFrame:
     tagged = lines(docs, key).withColumn("head", head.when(rule, "blog_disclaimers"))
     # a disclaimer header takes the family of the last other header before it
     family = F.last(F.when(F.col("head") != "disclaimers", F.split("head", "_")[0]), ignorenulls=True).over(per)
-    named = F.when(F.col("head") != "disclaimers", F.col("head")).when(family.isin("ad", "faq"), F.concat(family, F.lit("_disclaimers"))).when(F.col("head").isNotNull(), "blog_disclaimers")
+    named = F.when(F.col("head") != "disclaimers", F.col("head")).when(F.col("head").isNotNull(), F.when(family.isin("ad", "faq"), F.concat(family, F.lit("_disclaimers"))).otherwise("blog_disclaimers"))
     tagged = tagged.withColumn("named", named).withColumn("block", F.count("named").over(per))
     body = tagged.where("named is null")
     kinds = tagged.where("named is not null").select(key, "block", F.col("named").alias("kind"))

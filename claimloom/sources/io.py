@@ -93,8 +93,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def bad_lines(spark: SparkSession, path: str, schema: str) -> int:
-    rows = spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return rows.select("_corrupt", F.lit(1)).where("_corrupt is not null").count()
+    """How many lines read_jsonl drops."""
+    row = F.from_json("value", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    return spark.read.text(path).where("trim(value) <> ''").where(row["_corrupt"].isNotNull()).count()
 
 
 def read_json_files(spark: SparkSession, path: str, schema: str) -> DataFrame:

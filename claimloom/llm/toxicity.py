@@ -102,6 +102,7 @@ class Net:
         for at in range(0, len(owner), block):
             x = np.concatenate(self.hidden(emb[flat[at : at + block + gap]]), axis=1)[: min(block, len(owner) - at)]
             own = owner[at : at + block]
+            x[flat[at : at + len(own)] == 0] = 0  # a window that starts in a gap would reach into the next text
             starts = np.flatnonzero(np.diff(own, prepend=-1))
             top = np.maximum.reduceat(x, starts, axis=0)
             pooled[own[starts]] = np.maximum(pooled[own[starts]], top)

@@ -55,7 +55,7 @@ class Spool:
 
     def cut(self, df: DataFrame) -> DataFrame:
         path, self.n = f"{self.at}/{self.n}", self.n + 1
-        df.write.parquet(path)
+        df.write.parquet(path, compression="zstd")
         out = self.spark.read.schema(df.schema).parquet(path)
         out._spooled = path
         return out

@@ -522,21 +522,21 @@ def claims_label_summary(spark, d):
 
 def _vectors(spark, d):
     e = t.load(spark, d, "embeddings")
-    claims = e.where("vec_id >= 50").select(F.col("vec_id").alias("claim_id"), F.col("label").alias("product_id"), F.col("embedding").alias("vector"))
-    rules = e.where("vec_id < 50").select(F.col("vec_id").alias("rule_idx"), F.col("label").alias("product_id"), F.col("embedding").alias("vector"))
+    claims = e.select(F.col("vec_id").alias("claim_id"), F.col("label").alias("product_id"), F.col("embedding").alias("vector"))
+    rules = e.select(F.col("vec_id").alias("rule_idx"), F.col("label").alias("product_id"), F.col("embedding").alias("vector"))
     return claims, rules
 
 
 @query(
     "semantic_topk",
     """SELECT claim_id, rule_idx, round(cosine, 4) AS cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY cosine DESC, rule_idx) AS rank FROM (SELECT c.vec_id AS claim_id, r.vec_id AS rule_idx,
-    list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])) AS cosine FROM embeddings c JOIN embeddings r ON c.label = r.label AND c.vec_id >= 50 AND r.vec_id < 50)) WHERE rank <= 3 AND cosine >= 0.1""",
+    list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])) AS cosine FROM embeddings c JOIN embeddings r ON c.label = r.label)) WHERE rank <= 3 AND cosine >= 0.1""",
 )
 def semantic_topk(spark, d):
     return U.semantic_topk(*_vectors(spark, d), k=3, least=0.1).select("claim_id", "rule_idx", F.round("cosine", 4).alias("cosine"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("semantic_reduction", "SELECT CAST(product_id AS INTEGER) AS product_id, c * r AS before, c * least(r, 5) AS after, round(100 * (1 - least(r, 5) / r), 4) AS reduction_pct FROM (SELECT label AS product_id, count(*) FILTER (vec_id >= 50) AS c, count(*) FILTER (vec_id < 50) AS r FROM embeddings GROUP BY 1) WHERE c > 0 AND r > 0")
+@query("semantic_reduction", "SELECT CAST(product_id AS INTEGER) AS product_id, c * r AS before, c * least(r, 5) AS after, round(100 * (1 - least(r, 5) / r), 4) AS reduction_pct FROM (SELECT label AS product_id, count(*) AS c, count(*) AS r FROM embeddings GROUP BY 1)")
 def semantic_reduction(spark, d):
     return U.reduction(*_vectors(spark, d))
 

@@ -101,7 +101,7 @@ def faq_pairs(spark, d):
 @query("ad_format_check")
 def ad_format_check(spark, d):
     p = t.load(spark, d, "pages")
-    text = F.concat(F.lit("Headline: "), F.col("url"), F.lit("\nPrimary text:\n"), F.substring("html", 1, 200), F.lit("\nDescription: "), F.regexp_extract("url", "//([^/]*)", 1))
+    text = F.concat(F.lit("Headline: "), F.col("url"), F.lit("\nPrimary text:\n"), F.col("html"), F.lit("\nDescription: "), F.regexp_extract("url", "//([^/]*)", 1))
     return C.ad_format(p.select(F.col("page_id").alias("run_id"), text.alias("text")))
 
 

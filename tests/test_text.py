@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from claimloom.functions import text as T
 from claimloom.operators import claims as C
 from claimloom.operators import rules as R
+from claimloom.plans import QUERIES
 
 
 def one(spark, column, **values):
@@ -80,6 +81,28 @@ def test_ad_format(spark):
     assert not got[1].format_valid and got[2].headline_exceeds
 
 
+def brute_ad(text):
+    """The sections of one text, line by line."""
+    out, section = {"headline": "", "primary": "", "description": ""}, None
+    for line in text.split("\n"):
+        x = line.strip(" \t\r\v\f")
+        head = next((k for h, k in (("headline:", "headline"), ("primary text:", "primary"), ("primary:", "primary"), ("description:", "description")) if x.lower().startswith(h)), None)
+        if head:
+            section, out[head] = head, x.split(":", 1)[1].strip(" ")
+        elif x and section and not out[section]:
+            out[section] = x
+    return out
+
+
+def test_ad_query_reads_whole_pages(spark, tmp_path):
+    pages = [(1, "http://a.de/x", "<p>" + "long " * 500 + "</p>\nmore"), (2, "http://b.de/", "\n \n" + "y" * 201), (3, "http://c.de/z", "short"), (4, "http://d.de/", "z" * 300 + "\nHeadline: new\n" + "t" * 300)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.run_id: r for r in QUERIES["ad_format_check"](spark, str(tmp_path)).collect()}
+    for i, url, html in pages:
+        want = brute_ad(f"Headline: {url}\nPrimary text:\n{html}\nDescription: {url.split('/')[2]}")
+        assert {k: got[i][k] for k in want} == want and got[i].primary_length == len(want["primary"])
+
+
 def test_screening_order(spark):
     s = spark.createDataFrame([(1, "p", 0, "this one is long enough to count as claim"), (1, "p", 1, "red blue"), (1, "p", 2, "another one that is long enough to count"), (2, "p", 0, "red green")], "run_id int, product_id string, pos int, sentence string")
     r = spark.createDataFrame([("p", "authorized", 0, "red blue"), ("p", "prohibited", 1, "red green")], "product_id string, rule_type string, rule_idx int, rule_text string")

@@ -388,6 +388,48 @@ def test_crowds_are_connected_without_pairs(spark):
     assert sum(bool(r.text) for r in got) <= 15  # a group for each few bits that the last word turns
 
 
+def char_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def removed(spark, lines):
+    """The numbers of the lines that go where edits alone decide."""
+    got = line_dedup.dedup_lines(documents(spark, list(enumerate(lines))), bits=None).collect()
+    return {r.doc_id for r in got if not r.text}
+
+
+def test_lines_by_edit_similarity_alone(spark):
+    """One to eight words of 40 changed, whatever bits of a fingerprint that turns; unlike lines stay."""
+    rng = random.Random(21)
+    base = [words(rng, 40) for _ in range(12)]
+    lines = list(base)
+    for k, b in enumerate(base):
+        w = b.split()
+        for at in rng.sample(range(40), 1 + k % 8):
+            w[at] = w[at][:-2] + f"q{rng.randrange(9)}"
+        lines.append(" ".join(w))
+    for i, a in enumerate(lines):
+        for j in range(i):
+            assert (char_edits(a, lines[j]) <= 0.2 * max(len(a), len(lines[j]))) == (j == i - 12)
+    assert removed(spark, lines) == set(range(12, 24))
+
+
+def test_query_and_pipeline_use_edits_alone(spark, tmp_path):
+    rng = random.Random(22)
+    a = words(rng, 40).split()
+    b = [x[:-1] + "z" if i % 5 == 0 else x for i, x in enumerate(a)]
+    spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sims = list(brute_links([" ".join(a), " ".join(b)]).values())
+    assert (sims[0] ^ sims[1]).bit_count() > 3
+    got = {r.doc_id: r.n_removed for r in line_dedup.op7_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: 0, 2: 1}
+
+
 # --- 8: fingerprints --------------------------------------------------------------------------
 
 

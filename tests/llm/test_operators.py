@@ -430,6 +430,11 @@ def test_query_and_pipeline_use_edits_alone(spark, tmp_path):
     assert got == {1: 0, 2: 1}
 
 
+def test_short_lines_by_characters(spark):
+    lines = ["Subscribe to our newsletter", "call us 0800 1234", "see more photos", "Subscribe to our newsleter", "call us 0800 1235", "see more photo", "seemore photos", "open daily", "closed now"]
+    assert removed(spark, lines) == {3, 4, 5, 6}
+
+
 # --- 8: fingerprints --------------------------------------------------------------------------
 
 

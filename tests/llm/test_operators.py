@@ -435,6 +435,16 @@ def test_short_lines_by_characters(spark):
     assert removed(spark, lines) == {3, 4, 5, 6}
 
 
+def test_crowded_buckets_lose_no_pairs(spark):
+    """More lines than a bucket compares pair by pair share most words; each has one near copy far off in the order."""
+    rng = random.Random(23)
+    shared = words(rng, 30)
+    lines = [f"{shared} {' '.join(f'{rng.randrange(1 << 40):x}' for _ in range(9))}" for _ in range(120)]
+    lines += [x[:-3] + "zzz" for x in lines]
+    far = [char_edits(lines[0], x) / max(len(lines[0]), len(x)) for x in lines[1:40]]
+    assert min(far) > 0.2 and removed(spark, lines) == set(range(120, 240))
+
+
 # --- 8: fingerprints --------------------------------------------------------------------------
 
 

@@ -32,3 +32,25 @@ def test_stages_and_columns(spark, tmp_path):
     assert left["near_dedup"] == good and left["decontaminate"] == good - {301} and left["mixing"] <= good - {300, 301}
     assert [name for name, _ in pipeline.STAGES] == ["quality", "line_dedup", "near_dedup", "decontaminate", "mixing"]
     assert pipeline.run(spark, d).count() == docs.count()
+
+
+def test_near_copies_go(spark):
+    """Documents with one to three words of 100 changed, and one that shares less than 0.8 of its shingles."""
+    rng = random.Random(8)
+    w = lambda n: [f"{rng.choice('abcdefgh')}{rng.choice('xyz')}{rng.randrange(600)}" for _ in range(n)]
+    shingles = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    base = [w(100) for _ in range(30)]
+    copies = [[*b] for b in base]
+    for i, c in enumerate(copies[:-1]):
+        for k in range(1 + i % 3):
+            c[k * 2 + 5 + i] = "changed"
+    for k in range(5, 100, 20):
+        copies[-1][k] = "changed"
+    near = {i for i, (b, c) in enumerate(zip(base, copies)) if len(shingles(b) & shingles(c)) >= 0.8 * len(shingles(b) | shingles(c))}
+    assert near == set(range(29))
+    rows = [(i, " ".join(t), 1) for i, t in enumerate(base + copies)] + [(None, " ".join(base[0]), 1), (90, None, 1), (91, " ", 1), (92, "one", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp int")
+    out = dict(pipeline.STAGES)["near_dedup"](spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted(r.doc_id if r.doc_id is not None else -1 for r in out.collect()) == [-1, *range(30), 59, 90, 92]
+    assert dict(pipeline.STAGES)["near_dedup"](spark, docs.limit(0), "").count() == 0

@@ -28,13 +28,23 @@ def build(keys: DataFrame, column: str, bits_per_key: int = 16) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def probe(bloom: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """For each hash whether it may be among the keys."""
+def hits(bloom: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The places of the hashes that may be among the keys. Each of the eight words is read only for those that passed the ones before."""
     h = h.view(np.uint64)
-    block = (h >> np.uint64(48)).astype(np.int64) & (len(bloom) - 1)
-    may = np.ones(len(h), bool)
+    mask, left = np.uint64(len(bloom) - 1), np.arange(len(h))
+    block = ((h >> np.uint64(48)) & mask).astype(np.int64)
+    flat = bloom.ravel()
     for j in range(8):
-        may &= (bloom[block, j] >> ((h >> np.uint64(6 * j)) & np.uint64(63))) & np.uint64(1) == 1
+        x = flat[block * 8 + j] >> ((h >> np.uint64(6 * j)) & np.uint64(63))
+        on = np.flatnonzero(x & np.uint64(1))
+        left, block, h = left[on], block[on], h[on]
+    return left
+
+
+def probe(bloom: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """For each hash whether it may be among the keys."""
+    may = np.zeros(len(h), bool)
+    may[hits(bloom, h)] = True
     return may
 
 

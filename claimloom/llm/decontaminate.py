@@ -3,17 +3,16 @@
 Numbers, names and units of documents and benchmark items become typed placeholders. Windows of
 template tokens are hash-joined; a Bloom filter of the benchmark's windows keeps the documents'
 other windows out of the shuffle. What the slots hold is then compared: within one alignment of
-document and item every value of the item must stand for one value of the document.
+document and item every value of the item must stand for one value of the document. Items without
+a window that says enough are looked for as they stand.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,146 +22,307 @@ from .common import Spool, table
 WINDOW = 8
 #: Literal words that a window needs, so that placeholders alone don't match; shorter items need all but two.
 LITERALS = 4
+#: Within an alignment the place of a window, document against item, moves by fewer tokens than this.
+DRIFT = 16
 
-# Units and currencies that count as a typed placeholder.
-UNITS = set(
+#: Units and currencies that count as a typed placeholder; add to them for other fields.
+UNITS = frozenset(
     "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ton tons pound pounds ounce ounces ml l liter liters litre litres "
     "second seconds minute minutes hour hours day days week weeks month months year years percent degrees dollar dollars cent cents euro euros yen rupees "
     "mph kmh watt watts volt volts gb mb kb byte bytes".split()
 )
-_NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*[%°]?[a-z]{0,3}")
-_NAME = re.compile(r"[^\W\d_][^\W\d_A-ZÀ-Þ]+(?:['’]s)?")
-_EDGE = re.compile(r"^[\W_]+|[\W_]+$")
-_LITERAL, _NUM, _UNIT, _CAP, _SKIP = range(5)
-_TAG = ["", "<num>", "<unit>", "<name>"]
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: What a word is. A capital may open a sentence; a known name is one wherever it stands and however it is written.
+_LITERAL, _NUM, _UNIT, _KNOWN, _CAP, _SKIP = range(6)
+_TAG = ["", "<num>", "<unit>", "<name>", "<name>"]
+_BASE = 0x9E3779B97F4A7C15
+_MIX = np.uint64(0xD6E8FEB86659FD93)
 
+_BYTE = np.arange(256)
+_SPACE = np.isin(_BYTE, [32, *range(9, 14)])
+_DIGIT = (_BYTE >= 48) & (_BYTE < 58)
+_INNER = _DIGIT | np.isin(_BYTE, list(b".,:/"))  # what a number may hold
+_LETTER = ((_BYTE >= 65) & (_BYTE < 91)) | ((_BYTE >= 97) & (_BYTE < 123)) | (_BYTE >= 128)
+_CLOSER = np.isin(_BYTE, list(b".!?:"))
+_VALUE = np.random.default_rng(11).integers(1, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
-def _hash(token: str) -> int:
-    return xxhash.xxh64_intdigest(token.encode(), 11)
 
+class Powers:
+    """Hashes of spans from differences of sums of powers, so that any span costs the same."""
 
-class Templates:
-    """Words to template tokens; what a word is, apart from its place, is found out once."""
-
-    def __init__(self, most: int = 200_000):
-        self.most = most
-        self.tags = np.array([_hash(t) for t in _TAG], np.uint64)
-        self.clear()
-
-    def clear(self):
-        self.of: dict[bytes, int] = {}
-        self.kind: list[int] = []
-        self.hash: list[int] = []
-        self.ends: list[bool] = []
-
-    def _add(self, raw: bytes) -> int:
-        word = raw.decode("utf-8", "replace")
-        core = _EDGE.sub("", word)
-        low = core.lower()
-        kind = _SKIP if not core else _NUM if _NUMBER.fullmatch(low) else _UNIT if low in UNITS else _CAP if core[0].isupper() and _NAME.fullmatch(core) else _LITERAL
-        self.of[raw] = n = len(self.kind)
-        self.kind.append(kind), self.hash.append(_hash(low)), self.ends.append(bool(re.search(r"[.!?:]\W*$", word)))
-        return n
-
-    def read(self, texts: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
-        """For each text the words that count, their kinds (0: literal) and their hashes as template
-        tokens. The words of many texts are looked up before the tables become arrays."""
-        if len(self.kind) > self.most:
-            self.clear()
-        split, of = [], self.of
-        line = of[b"\n"] if b"\n" in of else self._add(b"\n")
-        for text in texts:
-            parts: list[bytes] = []
-            for k, row in enumerate(text.split(b"\n")):
-                parts += [b"\n"] * (k > 0) + row.split()
-            split.append((parts, np.fromiter((of[w] if w in of else self._add(w) for w in parts), np.int64, len(parts))))
-        kinds, hashes, ends = np.array(self.kind, np.int8), np.array(self.hash, np.uint64), np.array(self.ends, bool)
-        for parts, at in split:
-            kind, h = kinds[at], hashes[at]
-            opens = np.ones(len(at), bool)  # a capital there is no name
-            opens[1:] = ends[at[:-1]] | (at[:-1] == line)
-            kind = np.where((kind == _CAP) & opens, _LITERAL, kind)
-            use = np.flatnonzero(kind != _SKIP)
-            kind, h = kind[use], h[use]
-            yield [parts[i] for i in use] if len(use) != len(parts) else parts, kind, np.where(kind == _LITERAL, h, self.tags[np.minimum(kind, 3)])
-
-    @staticmethod
-    def windows(kind: np.ndarray, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """The starts of windows with enough literals and their 64-bit hashes."""
-        n = len(h) - size + 1
-        if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        x = np.full(n, size, np.uint64)
-        for k in range(size):
-            x = (x ^ h[k : k + n]) * _BASE
-            x ^= x >> np.uint64(29)
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def spans(self, values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        n = len(values)
+        if len(self.up) <= n:
+            step = lambda b: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * n, b, np.uint64)]))
+            self.up, self.down = step(_BASE), step(pow(_BASE, -1, 1 << 64))
+        c = np.zeros(n + 1, np.uint64)
+        np.cumsum(values * self.up[:n], out=c[1:])
+        x = (c[end] - c[start]) * self.down[start]
         x ^= x >> np.uint64(32)
-        c = np.concatenate([[0], np.cumsum(kind == _LITERAL)])
-        at = np.flatnonzero(c[size:] - c[:-size] >= (LITERALS if size == WINDOW else max(1, size - 2)))
-        return at, x[at]
+        x *= _MIX
+        x ^= x >> np.uint64(29)
+        return x
+
+
+class _Set:
+    """64-bit hashes and a table of their first 16 bits."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes, self.may = np.unique(hashes), np.zeros(1 << 16, bool)
+        self.may[(self.hashes >> np.uint64(48)).astype(np.int64)] = True
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero(self.may[(h >> np.uint64(48)).astype(np.int64)])
+        return at[np.isin(h[at], self.hashes)] if len(at) else at
+
+
+class Templates:
+    """Words of whole texts to template tokens, by array operations over their bytes. names: known names in lower case."""
+
+    def __init__(self, names: Collection[str] = (), at_once: int = 1 << 20):
+        self.powers, self.at_once = Powers(), at_once
+        self.units, self.names = (_Set(np.array([self._hash(x.encode()) for x in s], np.uint64)) for s in (UNITS, names))
+        self.tags = np.array([self._hash(t.encode() + b"\x00") for t in _TAG], np.uint64)
+
+    def _hash(self, word: bytes) -> int:
+        v = _VALUE[np.frombuffer(word, np.uint8)]
+        return int(self.powers.spans(v, np.zeros(1, np.int64), np.full(1, len(v)))[0])
+
+    def _words(self, low: bytes, raw: bytes, opens: bool) -> tuple[list[np.ndarray], bool]:
+        """Of one piece of text, lower-cased and as it is: the words' starts and ends, those of their
+        cores without marks at either end, kinds and hashes; and whether a capital after the piece
+        may be no name, as `opens` says of its first."""
+        b, o = np.frombuffer(low, np.uint8), np.frombuffer(raw, np.uint8)
+
+        def count(m: np.ndarray) -> np.ndarray:
+            c = np.zeros(len(m) + 1, np.int32)
+            np.cumsum(m, dtype=np.int32, out=c[1:])
+            return c
+
+        edge = np.diff(np.concatenate([[True], _SPACE[b], [True]]).astype(np.int8))
+        start, end = np.flatnonzero(edge < 0), np.flatnonzero(edge > 0)
+        letter = _LETTER[b]
+        if not low.isascii():  # quotes, dashes and signs of more than one byte
+            for lead, second in ((0xE2, 0x80), (0xC2, None), (0xE3, 0x80)):
+                at = np.flatnonzero(b[:-1] == lead)
+                at = at if second is None else at[b[at + 1] == second]
+                for k in range(2 if second is None else 3):
+                    letter[np.minimum(at + k, len(b) - 1)] = False
+        digit = _DIGIT[b]
+        core = letter | digit
+        places, before = np.flatnonzero(core), count(core)
+        has = before[end] > before[start]
+        places = np.append(places, 0)
+        c0 = np.where(has, places[np.minimum(before[start], len(places) - 1)], start)
+        c1 = np.where(has, places[np.maximum(before[end] - 1, 0)] + 1, end)
+        h = self.powers.spans(_VALUE[b], c0, c1)
+        kind = np.where(has, _LITERAL, _SKIP).astype(np.int8)
+        digits, letters = count(digit), count(letter)
+        num = np.flatnonzero(has & digit[np.minimum(c0, len(b) - 1)]) if len(b) else np.zeros(0, np.int64)
+        if len(num):
+            last = np.append(np.flatnonzero(digit), 0)[digits[c1[num]] - 1] + 1  # after its last digit
+            inner = count(_INNER[b])
+            fits = (inner[last] - inner[c0[num]] == last - c0[num]) & (c1[num] - last <= 3) & (letters[c1[num]] - letters[last] == c1[num] - last)
+            kind[num[fits]] = _NUM
+        changed = b != o
+        caps = count(changed)
+        cap = np.flatnonzero(has & changed[np.minimum(c0, len(b) - 1)] | (has & (caps[c1] > caps[c0]) & (b[np.minimum(c0, len(b) - 1)] >= 128))) if len(b) else np.zeros(0, np.int64)
+        if len(cap):
+            size, one = c1[cap] - c0[cap], np.where(b[c0[cap]] < 128, 1, 2)
+            only = (caps[c1[cap]] - caps[np.minimum(c0[cap] + one, c1[cap])] == 0) & (size > one) & (digits[c1[cap]] == digits[c0[cap]])
+            kind[cap[only]] = _CAP
+        closer = count(_CLOSER[b])
+        closes = np.where(has, closer[end] > closer[c1], closer[end] > closer[start])
+        first, line = np.full(len(start), opens), count(b == 10)
+        if len(start):
+            first[0] |= line[start[0]] > 0
+            first[1:] = closes[:-1] | (line[start[1:]] > line[end[:-1]])
+        opens = bool(closes[-1] or line[-1] > line[end[-1]]) if len(start) else bool(opens or line[-1])
+        for kinds, known in ((_UNIT, self.units), (_KNOWN, self.names)):
+            at = known(h)
+            at = at[(kind[at] == _LITERAL) | (kind[at] == _CAP)]
+            kind[at] = kinds
+        kind[(kind == _CAP) & ~first] = _KNOWN
+        return [start, end, c0, c1, kind, h], opens
+
+    def read(self, texts: list[bytes]) -> tuple[bytes, list[np.ndarray], np.ndarray]:
+        """-> all texts in lower case, the words' starts, ends, starts and ends of cores, kinds and hashes, and each word's text."""
+        low = []
+        for t in texts:
+            x = t.lower() if t.isascii() else t.decode("utf-8", "replace").lower().encode()
+            low.append(x if len(x) == len(t) else t.lower())
+        all_low, all_raw, ends = b"\n".join(low) + b"\n", b"\n".join(texts) + b"\n", np.cumsum([len(t) + 1 for t in texts])
+        got, at, opens = [], 0, True
+        while at < len(all_low):
+            to = len(all_low) if len(all_low) - at <= self.at_once else max(all_low.rfind(b" ", at, at + self.at_once), all_low.rfind(b"\n", at, at + self.at_once)) + 1
+            if to <= at:  # a word longer than a piece
+                to = min([p + 1 for p in (all_low.find(b" ", at), all_low.find(b"\n", at)) if p >= 0])
+            piece, opens = self._words(all_low[at:to], all_raw[at:to], opens)
+            got.append([x + at if k < 4 else x for k, x in enumerate(piece)])
+            at = to
+        words = [np.concatenate(x) for x in zip(*got, strict=True)]
+        cuts = np.searchsorted(words[0], ends)
+        return all_low, words, np.repeat(np.arange(len(texts)), np.diff(cuts, prepend=0))
+
+    def windows(self, h: np.ndarray, size: int) -> np.ndarray:
+        """The 64-bit hashes of all windows."""
+        at = np.arange(max(0, len(h) - size + 1))
+        return self.powers.spans(h, at, at + size) if len(at) else np.zeros(0, np.uint64)
+
+    def found(self, texts: list[bytes], size: int, filled: np.ndarray | None, whole: dict[int, np.ndarray] | None = None) -> Iterator[tuple[int, int, int, str, list[str], int]]:
+        """(text, place, hash, template, slots, tokens of the text) of windows, where the filter lets
+        them through; then of the windows as they stand, by their sizes, with place -1."""
+        buf, (_, _, c0, c1, kinds, raw), owner = self.read(texts)
+        use = np.flatnonzero(kinds != _SKIP)
+        kind, h, text = kinds[use], raw[use], owner[use]
+        counts = np.bincount(text, minlength=len(texts))
+        starts = np.cumsum(counts) - counts
+        word = lambda i: buf[c0[i] : c1[i]].decode("utf-8", "replace")
+        opening = kind == _CAP  # as a literal, then as a name
+        for as_name in (False, True) if opening.any() else (False,):
+            k = np.where(opening, _KNOWN if as_name else _LITERAL, kind)
+            x = self.windows(np.where(k == _LITERAL, h, self.tags[k]), size)
+            if not len(x):
+                continue
+            c = np.concatenate([[0], np.cumsum(k == _LITERAL, dtype=np.int32)])
+            ok = (c[size:] - c[:-size] >= (LITERALS if size == WINDOW else max(1, size - 2))) & (text[: len(x)] == text[size - 1 :])
+            if as_name:
+                o = np.concatenate([[0], np.cumsum(opening, dtype=np.int32)])
+                ok &= o[size:] > o[:-size]
+            at = np.flatnonzero(ok)
+            if filled is not None:
+                at = at[bloom.hits(filled, x[at])]
+            for p, v, t in zip(at.tolist(), x[at].view(np.int64).tolist(), text[at].tolist(), strict=True):
+                w, tags = [word(i) for i in use[p : p + size].tolist()], k[p : p + size].tolist()
+                yield t, p - int(starts[t]), v, " ".join(_TAG[g] or s for s, g in zip(w, tags, strict=True)), [s for s, g in zip(w, tags, strict=True) if g], int(counts[t])
+        for n, keys in (whole or {}).items():
+            x = self.windows(raw, n)
+            at = np.flatnonzero(owner[: len(x)] == owner[n - 1 :]) if len(x) else np.zeros(0, np.int64)
+            at = at[bloom.hits(keys, x[at])]
+            for p, v, t in zip(at.tolist(), x[at].view(np.int64).tolist(), owner[at].tolist(), strict=True):
+                yield t, -1, v, " ".join(word(i) for i in range(p, p + n)), [], n
+
+
+_ROWS = "{} long, pos int, h long, template string, slots array<string>, n_tokens int"
+_TYPES = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.int32())
 
 
-def _window_rows(df: DataFrame, key: str, sizes: list[int] | None, filled: np.ndarray | None) -> DataFrame:
-    """(key, text) -> (key, pos, n_windows, h, template, slots) of all windows, or of those that the filter lets through."""
+def _texts(df: DataFrame, key: str) -> DataFrame:
+    return df.select(F.col(key).cast("long").alias(key), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+
+
+def _batch(rows: list[tuple], key: str) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [[] for _ in _TYPES]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], [key, "pos", "h", "template", "slots", "n_tokens"])
+
+
+def item_rows(benchmark: DataFrame, names: Collection[str]) -> DataFrame:
+    """(item_id, text, ...) -> all windows of each item; of one without any, the item as it stands (pos -1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = Templates(names)
+        for b in batches:
+            rows = []
+            for who, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                raw = text.as_buffer().to_pybytes()
+                kinds = read.read([raw])[1][4]
+                n = int((kinds != _SKIP).sum())
+                got = [(who, *r[1:]) for r in read.found([raw], min(WINDOW, n), None)] if n else []
+                if not got and len(kinds):
+                    every = np.full((64, 8), -1, np.int64).view(np.uint64)
+                    got = [(who, *r[1:]) for r in read.found([raw], WINDOW, np.zeros((64, 8), np.uint64), {len(kinds): every})]
+                rows += got
+            yield _batch(rows, "item_id")
+
+    return _texts(benchmark, "item_id").mapInArrow(run, _ROWS.format("item_id"))
+
+
+def name_rows(benchmark: DataFrame) -> DataFrame:
+    """(word) written with a capital inside a sentence of an item; capital: whether it always is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = Templates()
         for b in batches:
-            cols: list[list] = [[], [], [], [], [], []]
-            for first in range(0, len(b), 512):
-                some = b.slice(first, 512)
-                texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in some.column(1)]
-                for who, (parts, kind, h) in zip(some.column(0).to_pylist(), read.read(texts), strict=True):
-                    for size in sizes or [min(WINDOW, len(h))]:
-                        at, x = read.windows(kind, h, size) if size else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-                        n = len(at)
-                        if filled is not None:
-                            hit = bloom.probe(filled, x)
-                            at, x = at[hit], x[hit]
-                        for p, v in zip(at.tolist(), x.view(np.int64).tolist(), strict=True):
-                            w = [_EDGE.sub("", parts[i].decode("utf-8", "replace")).lower() for i in range(p, p + size)]
-                            k = kind[p : p + size].tolist()
-                            row = (who, p, n, v, " ".join(_TAG[t] or s for s, t in zip(w, k, strict=True)), [s for s, t in zip(w, k, strict=True) if t])
-                            for c, value in zip(cols, row, strict=True):
-                                c.append(value)
-            types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [key, "pos", "n_windows", "h", "template", "slots"])
-
-    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text")
-    return df.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, f"{key} long, pos int, n_windows int, h long, template string, slots array<string>")
+            read, words, capital = Templates(), [], []
+            for text in b.column(1):
+                buf, (_, _, c0, c1, kinds, _), _ = read.read([text.as_buffer().to_pybytes()])
+                for p, q, k in zip(c0.tolist(), c1.tolist(), kinds.tolist(), strict=True):
+                    if k in (_KNOWN, _LITERAL):
+                        words.append(buf[p:q].decode("utf-8", "replace"))
+                        capital.append(k == _KNOWN)
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(capital, pa.bool_())], ["word", "capital"])
+
+    return _texts(benchmark, "item_id").mapInArrow(run, "word string, capital boolean")
+
+
+#: Names that are sent to every task; a benchmark with more goes by capitals for the rest.
+MOST_NAMES = 1 << 16
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5) -> DataFrame:
     """docs (doc_id, text, ...), benchmark (item_id, text, ...) -> one row for each document and
-    item of which at least `coverage` of the windows stand in the document, in alignments whose
+    item of which at least `coverage` of the windows stand in the document in one alignment whose
     slots are consistent: doc_id, item_id, n_matched, n_windows, coverage, n_slots, n_changed.
 
-    n_changed counts slot values that the document replaces; 0 is a verbatim leak. Items of fewer
-    words than a window are one window. Null and empty texts have no windows; rows that repeat an
-    id add up; null ids count as an id; empty tables give an empty table.
+    An alignment holds windows that moved by the same number of tokens, or by numbers less than
+    DRIFT apart, so that a copy with a few words more or less is still one. In it every number, unit
+    and name of the item stands for one of the document, without exception. n_changed counts slot
+    values that the document replaces; 0 is a verbatim leak.
+
+    A word that items write with a capital inside sentences, and never without, is a name however a
+    document writes it; other capitals are names inside sentences, and either at their beginning.
+    Items of fewer words than a window are one window. An item with no window of enough literal
+    words (sums, lists of names) leaks where all its words, marks and numbers stand in a row as they
+    are, but for case and punctuation at words' ends. Null and empty texts have no windows; rows
+    that repeat an id count as one text, as do null ids; texts of any length are read whole; empty
+    tables give an empty table; other columns of either table are not looked at.
     """
     spool = Spool(docs.sparkSession, "leaks")
-    items = _window_rows(benchmark, "item_id", None, None)
-    items = spool.cut(items)
-    filled = bloom.build(items.select("h").distinct(), "h")
-    sizes = [r[0] for r in items.select(F.size(F.split("template", " "))).distinct().collect()]  # at most WINDOW
-    found = spool.cut(_window_rows(docs, "doc_id", sizes or [WINDOW], filled).drop("n_windows"))
-    i = items.select("item_id", F.col("pos").alias("item_pos"), "n_windows", "h", "template", F.col("slots").alias("item_slots"))
-    met = found.join(i, ["h", "template"]).withColumn("shift", F.col("pos") - F.col("item_pos"))
-    key = ["doc_id", "item_id"]
-    value = met.select(*key, "shift", F.explode(F.arrays_zip("item_slots", "slots")).alias("z")).groupBy(*key, "shift", F.col("z.item_slots").alias("v")).agg(F.min("z.slots").alias("lo"), F.max("z.slots").alias("hi"))
-    slots = value.groupBy(*key, "shift").agg(F.count("*").alias("n_slots"), F.count_if(F.col("lo") != F.col("hi")).alias("torn"), F.count_if((F.col("lo") != F.col("v")) | (F.col("hi") != F.col("v"))).alias("n_changed"))
-    same = [F.col(f"m.{k}").eqNullSafe(F.col(f"s.{k}")) for k in (*key, "shift")]
-    whole = met.alias("m").join(slots.alias("s"), same[0] & same[1] & same[2], "left").where("coalesce(torn, 0) * 4 <= coalesce(n_slots, 0)")
-    one = whole.groupBy("m.doc_id", "m.item_id", "item_pos").agg(F.max("n_windows").alias("n_windows"), F.max("n_slots").alias("n_slots"), F.min("n_changed").alias("n_changed"))
-    out = one.groupBy(*key).agg(F.count("*").alias("n_matched"), F.max("n_windows").cast("long").alias("n_windows"), F.coalesce(F.max("n_slots"), F.lit(0)).alias("n_slots"), F.coalesce(F.min("n_changed"), F.lit(0)).alias("n_changed"))
-    return out.withColumn("coverage", F.col("n_matched") / F.col("n_windows")).where(F.col("coverage") >= coverage)
+    named = name_rows(benchmark).groupBy("word").agg(F.bool_and("capital").alias("c"), F.count("*").alias("n")).where("c")
+    names = [r.word for r in named.orderBy(F.desc("n"), "word").limit(MOST_NAMES).select("word").collect()]
+    items = spool.cut(item_rows(benchmark, names))
+    filled = bloom.build(items.where("pos >= 0").select("h").distinct(), "h")
+    sizes = sorted(r[0] for r in items.where("pos >= 0").select(F.least("n_tokens", F.lit(WINDOW))).distinct().collect())  # at most WINDOW
+    whole = {r[0]: None for r in items.where("pos < 0").select("n_tokens").distinct().collect()}  # sizes of items without literals
+    keys = bloom.build(items.where("pos < 0").select("h").distinct(), "h")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = Templates(names)
+        for b in batches:
+            at, raw, ids, rows = 0, b.column(1), b.column(0).to_pylist(), []
+            while at < len(b):  # what the caches hold
+                texts, size, first = [], 0, at
+                while at < len(b) and size < 1 << 16:
+                    texts.append(raw[at].as_buffer().to_pybytes())
+                    size, at = size + len(texts[-1]), at + 1
+                for k, n in enumerate(sizes or [WINDOW]):
+                    rows += [(ids[first + r[0]], *r[1:]) for r in read.found(texts, n, filled, dict.fromkeys(whole, keys) if not k else None)]
+            yield _batch(rows, "doc_id")
+
+    found = spool.cut(_texts(docs, "doc_id").mapInArrow(run, _ROWS.format("doc_id")).drop("n_tokens"))
+    count = items.groupBy("item_id").agg(F.count_distinct("pos").alias("n_windows")).withColumnRenamed("item_id", "i")
+    i = items.join(count, F.col("item_id").eqNullSafe(F.col("i"))).select("item_id", F.col("pos").alias("item_pos"), "n_windows", "h", "template", F.col("slots").alias("item_slots")).distinct()
+    shift = F.col("pos") - F.col("item_pos")
+    place = lambda kind, at: F.struct(F.lit(kind).alias("kind"), at.cast("long").alias("at"))
+    aligned = F.array(place("same", shift), place("near", F.floor(shift / DRIFT)), place("next", F.floor((shift + DRIFT // 2) / DRIFT)))
+    met = found.join(i, ["h", "template"]).withColumn("align", F.explode(aligned)).select("doc_id", "item_id", "align.kind", "align.at", "item_pos", "n_windows", "item_slots", "slots")
+    key = ["doc_id", "item_id", "kind", "at"]
+    places = met.groupBy(*key).agg(F.count_distinct("item_pos").alias("n_matched"), F.max("n_windows").alias("n_windows"))
+    value = met.select(*key, F.explode(F.arrays_zip("item_slots", "slots")).alias("z")).groupBy(*key, F.col("z.item_slots").alias("v")).agg(F.min("z.slots").alias("lo"), F.max("z.slots").alias("hi"))
+    slots = value.groupBy(*key).agg(F.count("*").alias("n_slots"), F.count_if(F.col("lo") != F.col("hi")).alias("torn"), F.count_if((F.col("lo") != F.col("v")) | (F.col("hi") != F.col("v"))).alias("n_changed"))
+    same = [F.col(f"p.{k}").eqNullSafe(F.col(f"s.{k}")) for k in key]
+    one = places.alias("p").join(slots.alias("s"), same[0] & same[1] & same[2] & same[3], "left").where("coalesce(torn, 0) = 0")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    best = F.max(F.struct("n_matched", (-zero("n_changed")).alias("c"), zero("n_slots").alias("s"), "n_windows"))
+    out = one.select("p.doc_id", "p.item_id", "n_matched", "n_changed", "n_slots", "n_windows").groupBy("doc_id", "item_id").agg(best.alias("b"))
+    out = out.select("doc_id", "item_id", "b.n_matched", "b.n_windows", (F.col("b.n_matched") / F.col("b.n_windows")).alias("coverage"), F.col("b.s").alias("n_slots"), (-F.col("b.c")).alias("n_changed"))
+    return out.where(F.col("coverage") >= coverage)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5) -> DataFrame:
-    """The documents without those that hold an item; a row without doc_id can't be named and stays."""
+    """The documents without those that hold an item; a row without doc_id can't be named and stays.
+    Null and empty texts stay; all rows of a doc_id go together; all columns come through."""
     return docs.join(leaks(docs, benchmark, coverage).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
 
 

@@ -294,13 +294,49 @@ def test_leaks(spark):
     torn = "If Bob has 40 apples and gives 7 apples to Mary every 2 days then how many apples does Carl have after 8 days"
     docs = documents(spark, [(10, f"some words before. {ITEMS[0][1]} and after"), (11, f"x y z. {re_set} so there"), (12, words(random.Random(1), 400)), (13, ITEMS[2][1].upper() + " " + ITEMS[2][1]), (14, "a short item of five words b"), (15, None), (16, ""), (17, torn), (10, ITEMS[2][1]), (18, " ".join(w + "***" for w in ITEMS[2][1].split()))])
     got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(docs, bench).collect()}
-    assert set(got) >= {(10, 1), (10, 3), (11, 1), (13, 3), (14, 2), (18, 3)} and not any(k[0] in (12, 15, 16) for k in got)
+    assert set(got) == {(10, 1), (10, 3), (11, 1), (13, 3), (14, 2), (18, 3)}  # not 17, where one name stands for two
     assert got[10, 1].n_changed == 0 and got[11, 1].n_changed > 0
     assert {r.doc_id for r in decontaminate.drop_leaks(docs, bench).collect()} >= {12, 15, 16}
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0 and decontaminate.leaks(documents(spark, []), bench).count() == 0
     assert decontaminate.drop_leaks(documents(spark, EDGE), bench).count() == len(EDGE)
 
 
+def test_every_item_can_be_found(spark):
+    """Items of numbers or names alone, copies in lower case, names at the beginning, words put in."""
+    items = [(1, "Tom has 12 apples and gives 5 apples to Anna. How many apples are left for Tom when 3 days are over"), (2, "12 + 30 - 7 = 35 ; 8 * 9 = 72"), (3, "17 * 23"), (4, "Anna Berta Carl Dora Emil Fritz Gustav Hans Ida"), (5, None), (6, "***")]
+    other = "Bob has 40 apples and gives 7 apples to Mary. How many apples are left for Bob when 2 days are over"
+    docs = [(1, items[0][1].lower()), (2, f"x y {items[1][1]} z"), (3, "so 17 * 23 is?"), (4, other), (5, other.replace("for Bob", "for Carl")), (6, items[3][1].lower()), (7, "17 23"), (8, items[0][1].replace("apples and", "really tasty apples and")), (None, items[2][1])]
+    got = decontaminate.leaks(documents(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 2), (3, 3), (4, 1), (6, 4), (8, 1), (None, 3)}
+
+
+def test_templates_against_expressions():
+    """What words are, by arrays over bytes, against regular expressions word by word."""
+    number, name, edge = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*[%°]?[a-z]{0,3}"), re.compile(r"[^\W\d_][^\W\d_A-ZÀ-Þ]+"), re.compile(r"^[\W_]+|[\W_]+$")
+    rng = random.Random(31)
+    some = ["Tom", "tom", "12", "3.5kg", "12abcd", "1/2", "x9", "9x9", "(Anna)", "Été", "été", "über", "Über", "USA", "A", "I", "...", "end.", "why?!", "--", "«Nina»", "“Otto”", "hours", "Hours,", "5%", "$40", "a-b", "a1", "10:30", "naïve", "Zürich", "日本"]
+    texts = [rng.choice(["", " ", "\n"]).join("") + "".join(rng.choice(some) + rng.choice([" ", " ", "\n", "  "]) for _ in range(rng.randrange(30))) for _ in range(200)] + ["", " "]
+    for at_once in (64, 1 << 20):
+        read = decontaminate.Templates(at_once=at_once)
+        buf, (start, end, c0, c1, kind, h), owner = read.read([t.encode() for t in texts])
+        want = []
+        for k, t in enumerate(texts):
+            opens = True
+            for line in t.split("\n"):
+                opens = True
+                for w in line.split():
+                    core = edge.sub("", w)
+                    low = core.lower()
+                    g = decontaminate
+                    one = g._SKIP if not core else g._NUM if number.fullmatch(low) else g._UNIT if low in g.UNITS else g._CAP if core[0].isupper() and name.fullmatch(core) else g._LITERAL
+                    want.append((k, low, g._KNOWN if one == g._CAP and not opens else one))
+                    opens = bool(re.search(r"[.!?:]\W*$", w))
+        got = [(int(o), buf[a:b].decode() if k != decontaminate._SKIP else "", int(k)) for o, a, b, k in zip(owner, c0, c1, kind)]
+        assert got == want
+        words = {}
+        assert all(words.setdefault(w, x) == x for (_, w, k), x in zip(got, h.tolist()) if k != decontaminate._SKIP) and len(set(words.values())) == len(words)
+
+
 def test_slots_must_agree(spark):
     bench = spark.createDataFrame([(1, "there 11 are 12 many 13 words 14 here 15 and 11 more 12 of 13 them 14 again 15 said")], "item_id long, text string")
     ok, bad = "there 21 are 22 many 23 words 24 here 25 and 21 more 22 of 23 them 24 again 25 said", "there 21 are 22 many 23 words 24 here 25 and 31 more 32 of 33 them 34 again 35 said"

@@ -26,10 +26,10 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return text.select(*[blank(f.name).try_cast(f.dataType).alias(f.name) for f in wanted])
 
 
-def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """One text a file: (run_id, text), the key being the file's name without its ending."""
-    t = spark.read.text(path, wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_name").alias("f"))
-    return t.select(F.regexp_replace("f", r"\.[^.]*$", "").alias("run_id"), "text")
+def read_texts(spark: SparkSession, path: str, key: str = r"([^/]*?)(?:\.[^./]*)?$") -> DataFrame:
+    """One text a file: (run_id, text), the key being the file's name without its ending, or what the expression finds in its path."""
+    t = spark.read.text(path, wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("f"))
+    return t.select(F.regexp_extract("f", key, 1).alias("run_id"), "text")
 
 
 def attach_texts(runs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -103,9 +103,9 @@ def read_json_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path).withColumn("file", F.col("_metadata.file_name"))
 
 
-def merge_csvs(spark: SparkSession, glob: str, schema: str) -> DataFrame:
-    """Many CSVs of one form; run_id is the file's name."""
-    return spark.read.option("header", True).schema(schema).csv(glob).withColumn("run_id", F.regexp_replace(F.col("_metadata.file_name"), r"\.csv$", ""))
+def merge_csvs(spark: SparkSession, glob: str, schema: str, key: str = r"([^/]*?)(?:\.csv)?$") -> DataFrame:
+    """Many CSVs of one form; run_id is the file's name, or what the expression finds in its path."""
+    return spark.read.option("header", True).schema(schema).csv(glob).withColumn("run_id", F.regexp_extract(F.col("_metadata.file_path"), key, 1))
 
 
 def file_key(rows: DataFrame, column: str = "file") -> DataFrame:

@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 from . import lexicon
 
 
+#: What \\s stands for.
+BLANKS = " \t\n\x0b\f\r"
+
+
 def sentences(text: Column) -> Column:
     """Split at runs of . ! ?, trimmed, empty ones dropped; a null text has none."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[.!?]+"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[.!?]+"), lambda s: F.btrim(s, F.lit(BLANKS))), lambda s: s != "")
 
 
 def pieces(text: Column, separator: str) -> Column:
@@ -43,30 +47,43 @@ def sentences_with_offsets(text: Column) -> Column:
 
 
 def contains_any(text: Column, terms: Sequence[str]) -> Column:
+    """Whether the text holds a term; terms that hold another one need no look of their own."""
     out = F.lit(False)
     for t in terms:
-        out = out | F.contains(text, F.lit(t))
+        if not any(o in t and o != t for o in terms):
+            out = out | F.contains(text, F.lit(t))
     return out
 
 
+def any_of(patterns: Sequence[str]) -> str:
+    """One expression for patterns that begin with \\b: it is tried at the beginnings of words alone, by their first letter."""
+    by: dict[str, list[str]] = {}
+    for p in patterns:
+        by.setdefault(p[2], []).append(p[3:])
+    return r"\b(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by.items()) + ")"
+
+
 def found(text: Column, patterns: Sequence[str]) -> Column:
-    """Distinct matched phrases over all patterns, in pattern order; one alternation screens the text first."""
-    screen = "(?i)" + "|".join(patterns)
-    each = F.concat(*[F.regexp_extract_all(text, F.lit(f"(?i){p}"), F.lit(0)) for p in patterns])
-    return F.when(text.rlike(screen), F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
+    """Distinct matched phrases over all patterns, in pattern order, of a text in lower case; one expression screens the text first."""
+    each = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in patterns])
+    return F.when(text.rlike(any_of(patterns)), F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
 
 
 def bias(text: Column, whitelist: Sequence[str] = ()) -> Column:
-    """array<struct<severity, category, pattern, matches>>: a detection for each pattern with a match outside the whitelist."""
+    """array<struct<severity, category, pattern, matches>>: a detection for each pattern with a match
+    outside the whitelist. One expression screens the text, then one for each category."""
     text = F.lower(F.coalesce(text, F.lit("")))
     allowed = F.array(*[F.lit(w.lower()) for w in whitelist]).cast("array<string>")
-    one = []
+    none = F.array().cast("array<struct<severity:string,category:string,pattern:string,matches:array<string>>>")
+    low = lambda p: p.lower() if "FDIC" in p else p
+    groups = []
     for severity, category, patterns in lexicon.BIAS:
+        one = []
         for p in patterns:
-            hits = F.filter(F.regexp_extract_all(text, F.lit(p.lower() if "FDIC" in p else p), F.lit(0)), lambda m: ~F.array_contains(allowed, m))
+            hits = F.filter(F.regexp_extract_all(text, F.lit(low(p)), F.lit(0)), lambda m: ~F.array_contains(allowed, m))
             one.append(F.struct(F.lit(severity).alias("severity"), F.lit(category).alias("category"), F.lit(p).alias("pattern"), hits.alias("matches")))
-    screen = "(?i)" + "|".join(p for _, _, ps in lexicon.BIAS for p in ps)
-    return F.when(text.rlike(screen), F.filter(F.array(*one), lambda d: F.size(d["matches"]) > 0)).otherwise(F.array().cast("array<struct<severity:string,category:string,pattern:string,matches:array<string>>>"))
+        groups.append(F.when(text.rlike(any_of([low(p) for p in patterns])), F.filter(F.array(*one), lambda d: F.size(d["matches"]) > 0)).otherwise(none))
+    return F.when(text.rlike(any_of([low(p) for _, _, ps in lexicon.BIAS for p in ps])), F.concat(*groups)).otherwise(none)
 
 
 def severity_count(detections: Column, severity: str) -> Column:
@@ -86,10 +103,16 @@ def triggers(sentence: Column) -> Column:
             F.when(contains_any(s, lexicon.FINANCIAL), "financial"), F.when(s.rlike(lexicon.COMPARATIVE), "comparative"),
         )
     )
-    verb = F.arrays_overlap(F.regexp_extract_all(s, F.lit(r"\w+"), F.lit(0)), F.array(*[F.lit(v) for v in lexicon.CLAIM_VERBS]))
+    verb = s.rlike(r"(?<!\w)(?:" + "|".join(v for v in lexicon.CLAIM_VERBS if v.isalpha()) + r")(?!\w)")  # one word, as written
     return F.when((F.size(anchors) > 0) & verb, F.array_append(anchors, "claim_verb")).otherwise(anchors)
 
 
+def anchored(text: Column) -> Column:
+    """Whether triggers() finds any tag in a sentence; a text has one if one of its sentences does."""
+    s = F.lower(text)
+    return contains_any(s, [*lexicon.GUARANTEE, *lexicon.MEDICAL, *lexicon.FINANCIAL]) | s.rlike(lexicon.NUMERIC) | s.rlike(lexicon.COMPARATIVE)
+
+
 def first_of(text: Column, table: Sequence[tuple[str, Sequence[str]]], otherwise: str) -> Column:
     """The first name with a term in the text."""
     out = None

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stats import range_of
+
 DECISIONS = ("Supported", "Contradicted", "Unsupported", "Ambiguous")
 
 
@@ -93,11 +95,18 @@ def extraction_quality(claims: DataFrame, approximate: bool = False) -> DataFram
 
 
 def upper_median(rows: DataFrame, value: str) -> DataFrame:
-    """The element at place n // 2 of the sorted values, from the counts of the distinct ones."""
+    """The element at place n // 2 of the sorted values, from the counts of the distinct ones: ranges are counted first, and only the one that holds it is sorted."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("v")))  # a row a distinct value
-    return upto.crossJoin(F.broadcast(total)).where("upto > floor(total / 2)").agg(F.min("v").alias("upper_median"))  # one row
+    counts = counts.withColumn("_b", range_of(counts, "v"))
+    upto = counts.groupBy("_b").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(Window.orderBy("_b")))  # a row a range
+    at, place, sizes = None, 0, upto.orderBy("_b").collect()
+    if sizes:
+        place = sizes[-1].upto // 2
+        at = next(r for r in sizes if r.upto > place)
+        place -= at.upto - at.n
+    inside = counts.where(F.col("_b") == at["_b"]) if at else counts.limit(0)
+    inside = inside.withColumn("upto", F.sum("n").over(Window.orderBy("v")))  # a row a distinct value of one range
+    return inside.where(F.col("upto") > place).agg(F.min("v").alias("upper_median"))
 
 
 def token_usage(runs: DataFrame, by: Sequence[str], share: float = 0.9) -> DataFrame:

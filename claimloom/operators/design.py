@@ -97,9 +97,18 @@ def scheduled(rows: DataFrame, start: str, hours: float, seed: int = 42, key: st
 
 def balanced(rows: DataFrame, within: Sequence[str], column: str, levels: Sequence, seed: int = 42, key: str = "run_id") -> DataFrame:
     """Levels dealt round robin over the hashed order inside each cell: counts of a cell differ by one at most. Cells begin at a hashed level, so that remainders spread."""
-    at = F.row_number().over(Window.partitionBy(*within).orderBy(draw(key, seed), key)) - 1
+    d = rows.withColumn("_h", draw(key, seed)).withColumn("_b", F.substring("_h", 1, 3))  # 4096 ranges of a cell: none is sorted in one task
+    sizes = d.groupBy(*within, "_b").agg(F.count("*").alias("_n"))
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*within, "_b")]
+    starts = sizes.select(*within, "_b", (F.sum("_n").over(Window.partitionBy(*within).orderBy("_b")) - F.col("_n")).alias("_before"))
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    d = d.withColumn("_at", F.row_number().over(Window.partitionBy(*within, "_b").orderBy("_h", key)))
+    rows = d.alias("d").join(starts.alias("s"), on).select("d.*", F.col("s._before").alias("_before"))
+    at = F.col("_before") + F.col("_at") - 1
     offset = F.floor(uniform(F.concat_ws("|", *[F.col(c).cast("string") for c in within]), seed) * len(levels)).cast("int") if within else F.lit(0)
-    return rows.withColumn(column, F.element_at(F.array(*[F.lit(v) for v in levels]), ((at + offset) % len(levels) + 1).cast("int")))
+    return rows.withColumn(column, F.element_at(F.array(*[F.lit(v) for v in levels]), ((at + offset) % len(levels) + 1).cast("int"))).drop("_h", "_b", "_at", "_before")
 
 
 def stratified_matrix(conditions: DataFrame, total: int, days: Sequence[str], slots: Sequence[str], seed: int = 42) -> DataFrame:

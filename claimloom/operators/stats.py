@@ -147,15 +147,28 @@ def chi2_uniform(rows: DataFrame, factor: str) -> DataFrame:
     return t.select((F.col("k") - 1).alias("df"), (F.col("q") * F.col("k") / F.col("s") - F.col("s")).alias("chi2"))
 
 
+def range_of(values: DataFrame, column: str, parts: int = 256) -> Column:
+    """A range number for each value of a column of doubles: ranges of about as many rows each, whatever the
+    distribution, cut at approximate quantiles. Equal values are in one range, and ranges are in order."""
+    cuts = values.agg(F.percentile_approx(column, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
+    cuts = sorted(set(cuts))  # parts - 1 numbers at most
+
+    def below(lo: int, hi: int) -> Column:  # by halves: how many cuts are less than the value
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col(column) > F.lit(cuts[mid]), below(mid + 1, hi)).otherwise(below(lo, mid))
+
+    return below(0, len(cuts))
+
+
 def mid_ranks(rows: DataFrame, factor: str, value: str) -> DataFrame:
     """(factor, value, n, ties, rank): counts of the distinct values with the mean rank of each. The
     running count is over distinct values, and in two steps: inside ranges, then over the ranges."""
     c = rows.where(F.col(value).isNotNull() & F.col(factor).isNotNull()).groupBy(F.col(factor).alias("factor"), F.col(value).cast("double").alias("value")).agg(F.count("*").alias("n"))
     v = c.groupBy("value").agg(F.sum("n").alias("ties"))
-    lo, hi = v.agg(F.min("value"), F.max("value")).first()
-    width = ((hi - lo) / 1024 or 1.0) if lo is not None else 1.0
-    v = v.withColumn("_b", F.floor((F.col("value") - F.lit(float(lo or 0.0))) / width))
-    starts = v.groupBy("_b").agg(F.sum("ties").alias("_n")).select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"))  # 1025 rows
+    v = v.withColumn("_b", range_of(v, "value"))
+    starts = v.groupBy("_b").agg(F.sum("ties").alias("_n")).select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"))  # 256 rows
     upto = F.sum("ties").over(Window.partitionBy("_b").orderBy("value")) + F.col("_before")
     ranks = v.join(F.broadcast(starts), "_b").select("value", "ties", (upto - F.col("ties") + (F.col("ties") + 1) / 2).alias("rank"))
     return c.join(ranks, "value")

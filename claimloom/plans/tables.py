@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import spread
+
 
 def load(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "documents").select(F.col("doc_id").alias("run_id"), F.col("source").alias("engine"), F.col("lang").alias("product_id"), "text", "n_chars")
+    return spread(load(spark, d, "documents"), "doc_id").select(F.col("doc_id").alias("run_id"), F.col("source").alias("engine"), F.col("lang").alias("product_id"), "text", "n_chars")
 
 
 def runs(spark: SparkSession, d: str) -> DataFrame:

@@ -380,8 +380,10 @@ def run_decision(spark, d):
     SELECT engine, product_id, count(*) AS n_runs, CAST(sum(coalesce(n_sentences, 0)) AS BIGINT) AS n_sentences, CAST(sum(coalesce(n_claims, 0)) AS BIGINT) AS n_claims, round(avg(bias), 4) AS mean_bias, CAST(sum(over) AS BIGINT) AS n_overclaims FROM b LEFT JOIN c USING (run_id) GROUP BY engine, product_id""",
 )
 def flagship(spark, d):
-    """Which engine and product over-claims most: claims, bias and over-claims of every text, without a shuffle before the small roll-up."""
-    s = T.sentences(F.col("text"))
-    x = t.docs(spark, d).select("engine", "product_id", F.size(s).alias("n_sentences"), F.size(F.filter(F.transform(s, T.triggers), lambda a: F.size(a) > 0)).alias("n_claims"), T.bias(F.col("text")).alias("bias"), F.size(T.found(F.lower("text"), lexicon.OVERCLAIMS)).alias("over"))
+    """Which engine and product over-claims most: claims, bias and over-claims of every text, without a
+    shuffle before the small roll-up. Sentences are looked at one by one only in texts that have a claim at all."""
+    x = t.docs(spark, d).select("engine", "product_id", "text", T.sentences(F.col("text")).alias("s"))
+    claims = F.when(T.anchored(F.col("text")), F.size(F.filter("s", T.anchored))).otherwise(0)
+    x = x.select("engine", "product_id", F.size("s").alias("n_sentences"), claims.alias("n_claims"), T.bias(F.col("text")).alias("bias"), F.size(T.found(F.lower("text"), lexicon.OVERCLAIMS)).alias("over"))
     h, m, low = (T.severity_count(F.col("bias"), k) for k in ("High", "Medium", "Low"))
     return x.groupBy("engine", "product_id").agg(F.count("*").alias("n_runs"), F.sum("n_sentences").alias("n_sentences"), F.sum("n_claims").alias("n_claims"), F.round(F.avg(T.bias_score(h, m, low)), 4).alias("mean_bias"), F.sum("over").alias("n_overclaims"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import gc
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import new_path
+
 #: The white space that parts words in every contract of this subpackage.
 SPACE = "[\\x20\\x09-\\x0D]+"
 
@@ -32,26 +33,16 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the cluster names none (a local
-    session) is one made here."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = getattr(spark, "_claimloom_shared", None)
-    if not made:
-        made = spark._claimloom_shared = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    return made
-
-
 class Spool:
     """Cuts lineage by writing a table to the shared folder and reading it again, so that a lost
-    executor costs one reread. drop() removes tables that a loop has outgrown."""
+    executor costs one reread. drop() removes tables that a loop has outgrown. The others stay for
+    the rows that are still to be computed from them: sweep() removes these once results are written."""
+
+    open_: list[Spool] = []
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.at, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.spark, self.at, self.n = spark, new_path(spark, name), 0
+        Spool.open_.append(self)
 
     def cut(self, df: DataFrame) -> DataFrame:
         path, self.n = f"{self.at}/{self.n}", self.n + 1
@@ -61,6 +52,25 @@ class Spool:
         return out
 
     def drop(self, df: DataFrame) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._spooled)
+        self._remove(df._spooled)
+
+    def tidy(self) -> None:
+        """Shuffle files go when nothing refers to them any more, which the driver finds out as it
+        collects garbage; after a large step this asks for it, rather than wait for the disk to fill."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+    def close(self) -> None:
+        self._remove(self.at)
+
+    def _remove(self, at: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sweep(*keep: Spool) -> None:
+    """Removes all spooled tables but those of the spools to keep. For callers whose results are written."""
+    for s in Spool.open_:
+        if s not in keep:
+            s.close()
+    Spool.open_ = [s for s in Spool.open_ if s in keep]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -61,12 +62,12 @@ def _inverse(share: Column, rank: Column, phases: Sequence[Sequence[float]]) ->
 
 def plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, phases: Sequence[Sequence[float]] = PHASES, seed: int = 7, carry: Sequence[str] = ()) -> DataFrame:
     """(doc_id, text, source, ...) -> one row a document: doc_id, size, source_size, target, taken,
-    first_position, second_position (0 to 1, null where it isn't taken so often), and the carried columns.
+    times (position from 0 to 1 and words taken, for each time that it is taken), and the carried columns.
 
     The documents of a source stand in an order by hash; the mix takes the source's words from the
-    start of that order, and again from its start if the target exceeds the source. So a source's
-    taken words are its target rounded, and no document exceeds its size times the rounded-up
-    ratio. The position is where the source's integrated weight schedule reaches the document.
+    start of that order, and again from its start as often as the target exceeds the source. So a
+    source's taken words are its target rounded, and no document exceeds its size times the
+    rounded-up ratio. The position is where the source's integrated weight schedule reaches the document.
 
     Null texts and those without words have size 0 and are not taken; null is a source of its own
     and ranks last; rows that repeat a doc_id are documents of their own; an empty table gives an empty one.
@@ -91,30 +92,32 @@ def plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1
     j = d.alias("d").join(starts.alias("s"), known & (F.col("d.bucket") == F.col("s.bucket")))
     goal, at, n, whole = F.round("target").cast("long"), F.col("before") + F.col("inside"), F.col("size"), F.col("source_size")
     zero = F.lit(0).cast("long")
-    first, again = F.greatest(zero, F.least(goal - at, n)), F.greatest(zero, F.least(goal - whole - at, n))
+    took = [F.greatest(zero, F.least(goal - k * whole - at, n)) for k in range(math.ceil(cap))]
     pos = lambda offset: _inverse(offset / F.greatest(goal, F.lit(1).cast("long")), F.col("rank"), phases)
-    return j.select(
-        "doc_id", "size", "source_size", "target", (first + again).alias("taken"), first.alias("first_taken"), again.alias("second_taken"),
-        F.when(first > 0, pos(at)).alias("first_position"), F.when(again > 0, pos(at + whole)).alias("second_position"), *[F.col(f"carry.{c}").alias(c) for c in carry if c != "doc_id"],
-    )
+    times = F.array(*[F.struct(pos(at + k * whole).alias("position"), x.alias("taken")) for k, x in enumerate(took)])
+    taken = took[0]
+    for x in took[1:]:
+        taken = taken + x
+    return j.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.filter(times, lambda x: x["taken"] > 0).alias("times"), *[F.col(f"carry.{c}").alias(c) for c in carry if c != "doc_id"])
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """One row for each time that the mix takes a document: the documents' columns, position and
     taken, range-sorted by position. The text of a document that the mix takes in part is its first
-    `taken` words as they stand."""
+    `taken` words as they stand. Columns of the documents named position or taken are replaced; null
+    and empty texts are not taken; repeated rows are documents of their own; an empty table gives an empty one."""
     names = docs.columns
     safe = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(names)], F.col("doc_id"), F.col("text"), F.col("source"))
     p = plan(safe, carry=[f"_c{i}" for i in range(len(names))], **how)
-    times = F.filter(F.array(F.struct(F.col("first_position").alias("position"), F.col("first_taken").alias("taken")), F.struct(F.col("second_position").alias("position"), F.col("second_taken").alias("taken"))), lambda x: x.taken > 0)
-    rows = p.withColumn("time", F.explode(times))
+    rows = p.withColumn("time", F.explode("times"))
     text = F.col(f"_c{names.index('text')}")
     other, word = SPACE, SPACE.replace("[", "[^")
     cut = F.expr("regexp_extract(`_text`, `_pattern`, 0)")
     rows = rows.withColumn("_text", text).withColumn("_pattern", F.concat(F.lit(f"^(?:{other[:-1]}*+{word}+){{"), F.col("time.taken").cast("string"), F.lit("}+")))
     kept = F.when(F.col("time.taken") < F.col("size"), cut).otherwise(text)
-    out = [(kept if c == "text" else F.col(f"_c{i}")).alias(c) for i, c in enumerate(names)]
-    out += [F.col(f"time.{c}").alias(c) for c in ("position", "taken") if c not in names]
+    own = ("position", "taken")
+    out = [(kept if c == "text" else F.col(f"_c{i}")).alias(c) for i, c in enumerate(names) if c not in own]
+    out += [F.col(f"time.{c}").alias(c) for c in own]
     rows = rows.select(F.col("time.position").alias("_p"), F.col("doc_id").alias("_d"), *out)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartitionByRange(n, "_p", "_d").sortWithinPartitions("_p", "_d").drop("_p", "_d")
@@ -122,4 +125,5 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
     p = plan(table(spark, sf_dir, "documents"))
-    return p.orderBy("first_position", "doc_id").drop("first_taken", "second_taken")
+    p = p.withColumns({"first_position": F.get("times", F.lit(0))["position"], "second_position": F.get("times", F.lit(1))["position"]})
+    return p.drop("times").orderBy("first_position", "doc_id")

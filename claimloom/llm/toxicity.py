@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
@@ -16,20 +15,17 @@ from .common import held_out, table
 
 #: Labelled documents used for the fit at most, by label: the first by hash of their id.
 FIT_ROWS = 2_000
+#: The longest text that is used for the fit, which bounds what the driver holds; all texts are scored.
+FIT_BYTES = 100_000
 WIDTHS, FILTERS, DIM, BUCKETS = (1, 2, 3), 12, 12, 1 << 16
 PREFIXES = (5, 6, 7, 8, 9)
 #: Of predicted 1.
 CUT = 0.7
 
-# Frequent function words of the languages that get a threshold of their own.
-FUNCTION_WORDS = {
-    "en": "the of and to in is that it for was on as with be by this are at from",
-    "fr": "le la les et des un une du pour dans par sur est qui ne pas avec au",
-    "de": "der die und das den von zu mit sich des auf ist im nicht ein dem",
-    "es": "el los las y un del se por con no una su para es al lo como",
-}
-LANGUAGES = [*FUNCTION_WORDS, "other"]
-_CODE = {w.encode(): k for k, ws in enumerate(FUNCTION_WORDS.values()) for w in ws.split()}
+#: Groups of texts with a threshold of their own, found by what their commonest words are: languages, in a corpus of several.
+LANGUAGES = 6
+#: Words whose shares tell the groups apart.
+COMMON = 256
 _WORD = re.compile(rb"[a-z\x80-\xff]+")
 
 
@@ -48,7 +44,6 @@ class Reader:
     def clear(self):
         self.of: dict[bytes, int] = {b"": 0}  # number 0 is the gap between texts
         self.ids: list[list[int]] = [[0] * (1 + len(PREFIXES))]
-        self.lang: list[int] = [len(LANGUAGES) - 1]
 
     def read(self, text: bytes) -> np.ndarray:
         of, found = self.of, _WORD.findall(text.lower())
@@ -56,27 +51,72 @@ class Reader:
             if w not in of:
                 of[w] = len(of)
                 self.ids.append(_features(w))
-                self.lang.append(_CODE.get(w, len(LANGUAGES) - 1))
         return np.fromiter(map(of.__getitem__, found), np.int32, len(found))
 
-    def language(self, numbers: np.ndarray) -> int:
-        """The language with most function words in the text; without any, the last."""
-        n = np.bincount(np.asarray(self.lang)[numbers] if len(numbers) < 64 else self._lang_array()[numbers], minlength=len(LANGUAGES))[:-1]
-        return int(n.argmax()) if n.any() else len(LANGUAGES) - 1
 
-    def _lang_array(self) -> np.ndarray:
-        if getattr(self, "_la", None) is None or len(self._la) != len(self.lang):
-            self._la = np.array(self.lang, np.int8)
-        return self._la
+class Languages:
+    """Groups of like texts, learned without labels: k-means over the shares of the commonest words."""
+
+    def __init__(self, words: list[bytes], centres: np.ndarray):
+        self.words, self.centres = words, centres
+
+    def state(self) -> dict:
+        return {"words": self.words, "centres": self.centres}
+
+    def shares(self, texts: list[np.ndarray], of: dict[bytes, int]) -> np.ndarray:
+        """Square roots of shares, so that a few words don't decide alone; all 0 for a text without common words."""
+        place = np.full(len(of) + 1, -1)
+        for k, w in enumerate(self.words):
+            if w in of:
+                place[of[w]] = k
+        out = np.zeros((len(texts), len(self.words)))
+        for i, t in enumerate(texts):
+            at = place[t]
+            out[i] = np.bincount(at[at >= 0], minlength=len(self.words))
+        return np.sqrt(out / np.maximum(out.sum(1, keepdims=True), 1))
+
+    def __call__(self, texts: list[np.ndarray], of: dict[bytes, int]) -> np.ndarray:
+        x = self.shares(texts, of)
+        return (x @ self.centres.T - 0.5 * (self.centres**2).sum(1)).argmax(1)
+
+    @staticmethod
+    def learn(texts: list[np.ndarray], of: dict[bytes, int], rng: np.random.Generator, rounds: int = 20) -> Languages:
+        name = {n: w for w, n in of.items()}
+        seen = np.zeros(len(of) + 1)
+        for t in texts:
+            seen[np.unique(t)] += 1
+        seen[0] = 0
+        out = Languages([name[k] for k in np.argsort(-seen, kind="stable")[:COMMON] if seen[k] > 0], np.zeros((1, 1)))
+        x = out.shares(texts, of)
+        if not x.size:
+            out.centres = np.zeros((1, len(out.words)))
+            return out
+        centres = x[:1].copy()  # each next one is the text farthest from those before
+        while len(centres) < min(LANGUAGES, len(x)):
+            far = ((x[:, None] - centres[None]) ** 2).sum(2).min(1)
+            centres = np.vstack([centres, x[far.argmax()]])
+        for _ in range(rounds):
+            g = (x @ centres.T - 0.5 * (centres**2).sum(1)).argmax(1)
+            for k in range(len(centres)):
+                if (g == k).any():
+                    centres[k] = x[g == k].mean(0)
+        out.centres = centres
+        return out
 
 
-@dataclass
 class Net:
-    e: np.ndarray  # BUCKETS x DIM
-    w: np.ndarray  # DIM x (FILTERS for each width and place in it)
-    u: np.ndarray  # widths * FILTERS
-    b: float
-    shift: np.ndarray  # by language: logit of its threshold
+    """e: BUCKETS x DIM; w: DIM x (FILTERS for each width and place in it); u: widths * FILTERS;
+    shift: by language, logit of its threshold. state() and Net.of(state) make plain arrays of it and back."""
+
+    def __init__(self, e: np.ndarray, w: np.ndarray, u: np.ndarray, b: float, shift: np.ndarray, language: Languages):
+        self.e, self.w, self.u, self.b, self.shift, self.language = e, w, u, b, shift, language
+
+    def state(self) -> dict:
+        return {"e": self.e, "w": self.w, "u": self.u, "b": self.b, "shift": self.shift, "language": self.language.state()}
+
+    @staticmethod
+    def of(state: dict) -> Net:
+        return Net(**{**state, "language": Languages(**state["language"])})
 
     def hidden(self, emb: np.ndarray) -> list[np.ndarray]:
         """For each width its filters at every start; the words past the end count as gaps."""
@@ -124,7 +164,8 @@ def fit_net(texts: list[bytes], y: np.ndarray, weight0: float = 1.0, epochs: int
     rng = np.random.default_rng(seed)
     reader = Reader(most=1 << 60)
     docs = [reader.read(t) for t in texts]
-    langs = np.array([reader.language(d) for d in docs], int)
+    language = Languages.learn(docs, reader.of, rng)
+    langs = language(docs, reader.of) if docs else np.zeros(0, int)
     ids = np.array(reader.ids)
     nf = len(WIDTHS) * FILTERS
     w = rng.normal(0, 0.25, (DIM, FILTERS * sum(WIDTHS))).astype(np.float32)
@@ -134,7 +175,7 @@ def fit_net(texts: list[bytes], y: np.ndarray, weight0: float = 1.0, epochs: int
         for k in range(1, width):
             w[0, at + k * FILTERS : at + k * FILTERS + FILTERS // 2] = 0.5
         at += width * FILTERS
-    net = Net(rng.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32), w, rng.normal(0, 0.05, nf).astype(np.float32), 0.0, np.zeros(len(LANGUAGES)))
+    net = Net(rng.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32), w, rng.normal(0, 0.05, nf).astype(np.float32), 0.0, np.zeros(len(language.centres)), language)
     if len(y) < 8 or y.min() == y.max():  # nothing to learn: the rate of label 1
         rate = (y.sum() + 1) / (len(y) * (1 + (weight0 - 1) * (1 - (y.mean() if len(y) else 0))) + 2)
         net.e[:], net.u[:], net.b = 0, 0, float(np.log(rate / (1 - rate)))
@@ -195,7 +236,7 @@ def fit_net(texts: list[bytes], y: np.ndarray, weight0: float = 1.0, epochs: int
     z = net.logits([docs[i] for i in held], ids).astype(float)
     weight = np.where(y[held] == 1, 1.0, weight0)
     whole = _threshold(z, y[held], weight, 0.0, 0)
-    for k in range(len(LANGUAGES)):
+    for k in range(len(language.centres)):
         m = langs[held] == k
         net.shift[k] = _threshold(z[m], y[held][m], weight[m], whole, 12)
     return net
@@ -215,31 +256,37 @@ def _threshold(z: np.ndarray, y: np.ndarray, weight: np.ndarray, prior: float, p
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Net:
-    """Fitted on the driver on the whole texts of at most `rows` documents of each label outside the held-out fold."""
+    """Fitted on the driver on the whole texts of at most `rows` documents of each label outside the
+    held-out fold, those of at most FIT_BYTES bytes. Labels without doc_id are not used; a doc_id
+    with several labels counts as toxic if one does; without labels of both kinds every text gets one score."""
     free = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"), 3, 1))
     one = free.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("y"))
     n = {r.y: r.n for r in one.groupBy("y").agg(F.count("*").alias("n")).collect()}
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     picked = one.where("y = 1").orderBy(*order).limit(rows).union(one.where("y = 0").orderBy(*order).limit(rows))
-    some = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text")).join(F.broadcast(picked), "doc_id")  # at most 2 * rows ids
+    some = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text")).where(F.octet_length("text") <= FIT_BYTES).join(F.broadcast(picked), "doc_id")  # at most 2 * rows ids
     got = sorted(some.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).collect(), key=lambda r: r.doc_id)
     weight0 = max(1.0, n.get(0, 0) / rows) / max(1.0, n.get(1, 0) / rows)
     return fit_net([bytes(r.text) for r in got], np.array([r.y for r in got], float), weight0)
 
 
 def score_toxicity(docs: DataFrame, net: Net) -> DataFrame:
-    """(doc_id, text, ...) -> (doc_id, score) of each whole text. Null and empty texts get the score of a text without words."""
-    sent = docs.sparkSession.sparkContext.broadcast(net)  # a fixed size, about 3 MB
+    """(doc_id, text, ...) -> (doc_id, score) of each whole text, whatever its length.
+
+    Null and empty texts get the score of a text without words; null and repeated doc_ids are rows
+    like others; an empty table gives an empty one; other columns are not looked at.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(net.state())  # arrays of a fixed size, about 3 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, model = Reader(), sent.value
+        reader, model = Reader(), Net.of(sent.value)
         for b in batches:
             out = []
             for at in range(0, len(b), 256):
                 if len(reader.ids) > reader.most:
                     reader.clear()
                 texts = [reader.read(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in b.column(1).slice(at, 256)]
-                langs = np.array([reader.language(t) for t in texts], int)
+                langs = model.language(texts, reader.of)
                 used, flat = np.unique(np.concatenate([np.zeros(1, np.int32), *texts]), return_inverse=True)
                 cuts = np.cumsum([len(t) for t in texts])[:-1]
                 out.append(model.scores(np.split(flat[1:].astype(np.int32), cuts), np.array([reader.ids[i] for i in used]), langs))
@@ -251,4 +298,4 @@ def score_toxicity(docs: DataFrame, net: Net) -> DataFrame:
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scores = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
-    return scores.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+    return scores.select("doc_id", F.coalesce(held_out(F.col("doc_id"), 3, 1), F.lit(False)).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))

@@ -19,8 +19,8 @@ from . import tables as t
 from .registry import query
 
 def _clear(df):
-    """Doubles to six places, moved off the ties that engines round either way."""
-    return df.select(*[F.round(F.col(c) + 1e-9, 6).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
+    """Doubles to seven places."""
+    return df.select(*[F.round(F.col(c), 7).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
 
 
 # --- run log ----------------------------------------------------------------------------------
@@ -262,7 +262,7 @@ def agg_engine_comparison(spark, d):
     return A.engine_comparison(t.evals(spark, d), t.runs(spark, d).select("run_id", "tokens"))
 
 
-@query("agg_drift", "SELECT engine, user_id, count(*) AS n, round(avg(hit_rate) + 1e-9, 6) AS mean, round(stddev_pop(hit_rate) + 1e-9, 6) AS std, round(CASE WHEN avg(hit_rate) > 0 THEN stddev_pop(hit_rate) / avg(hit_rate) ELSE 0 END + 1e-9, 6) AS cv FROM evals GROUP BY 1, 2 HAVING count(*) >= 2", "evals")
+@query("agg_drift", "SELECT engine, user_id, count(*) AS n, round(avg(hit_rate), 7) AS mean, round(stddev_pop(hit_rate), 7) AS std, round(CASE WHEN avg(hit_rate) > 0 THEN stddev_pop(hit_rate) / avg(hit_rate) ELSE 0 END, 7) AS cv FROM evals GROUP BY 1, 2 HAVING count(*) >= 2", "evals")
 def agg_drift(spark, d):
     return _clear(A.drift(t.evals(spark, d), ["engine", "user_id"]))
 
@@ -285,9 +285,9 @@ def compliance_by_factor(spark, d):
     return A.by_factor(t.evals(spark, d), ["engine", "product_id", "material_type"])
 
 
-@query("compliance_by_day", "SELECT CAST(i AS INTEGER) AS ord, n AS day_name, count(run_id) AS n_runs, CAST(coalesce(sum(n_violations), 0) AS BIGINT) AS total FROM (VALUES (0, 'Monday'), (1, 'Tuesday'), (2, 'Wednesday'), (3, 'Thursday'), (4, 'Friday'), (5, 'Saturday'), (6, 'Sunday')) v(i, n) LEFT JOIN (SELECT * FROM evals WHERE n_violations > 4) e ON dayname(ts) = n GROUP BY 1, 2", "evals")
+@query("compliance_by_day", "SELECT CAST(i AS INTEGER) AS ord, n AS day_name, count(run_id) AS n_runs, CAST(coalesce(sum(n_violations), 0) AS BIGINT) AS total FROM (VALUES (0, 'Monday'), (1, 'Tuesday'), (2, 'Wednesday'), (3, 'Thursday'), (4, 'Friday'), (5, 'Saturday'), (6, 'Sunday')) v(i, n) LEFT JOIN evals e ON dayname(ts) = n GROUP BY 1, 2", "evals")
 def compliance_by_day(spark, d):
-    return A.by_ordered_level(t.evals(spark, d).where("n_violations > 4").withColumn("day_name", F.date_format("ts", "EEEE")), "day_name")
+    return A.by_ordered_level(t.evals(spark, d).withColumn("day_name", F.date_format("ts", "EEEE")), "day_name")
 
 
 @query("compliance_overall", "SELECT count(*) AS n_runs, count(*) FILTER (n_violations = 0) AS compliant, count(*) FILTER (n_violations > 0) AS non_compliant, count(*) FILTER (n_violations IS NULL) AS unknown, CAST(sum(n_violations) AS BIGINT) AS violations, round(avg(n_violations), 4) AS mean_violations, round(100 * count(*) FILTER (n_violations = 0) / count(*), 4) AS compliant_pct FROM evals", "evals")
@@ -376,7 +376,7 @@ def hourly_volume(spark, d):
     return A.hourly(t.evals(spark, d), "ts", "1 hour")
 
 
-@query("hourly_factors", "SELECT h AS \"at\", round(sum(s) / sum(n) + 1e-9, 6) AS mean, arg_min(engine, (-n, engine)) AS mode FROM (SELECT date_trunc('hour', ts) AS h, engine, count(*) AS n, sum(value) AS s FROM evals GROUP BY 1, 2) GROUP BY h", "evals")
+@query("hourly_factors", "SELECT h AS \"at\", round(sum(s) / sum(n), 7) AS mean, arg_min(engine, (-n, engine)) AS mode FROM (SELECT date_trunc('hour', ts) AS h, engine, count(*) AS n, sum(value) AS s FROM evals GROUP BY 1, 2) GROUP BY h", "evals")
 def hourly_factors(spark, d):
     return _clear(A.hourly_factors(t.evals(spark, d), F.date_trunc("hour", "ts"), "value", "engine"))
 

@@ -175,7 +175,7 @@ def screen_claims(spark, d):
 @query("fuzzy_token_set")
 def fuzzy_token_set(spark, d):
     """Every rule against the rules that share one of its rarer words."""
-    r = t.rules(spark, d).where("product_id = 'en'").withColumn("w", F.explode(T.word_set(F.col("rule_text")))).where(F.length("w") > 4)
+    r = t.load(spark, d, "benchmark").select(F.col("item_id").alias("rule_idx"), F.col("text").alias("rule_text")).withColumn("w", F.explode(T.word_set(F.col("rule_text")))).where(F.length("w") > 4)
     p = r.alias("a").join(r.alias("b"), (F.col("a.w") == F.col("b.w")) & (F.col("a.rule_idx") < F.col("b.rule_idx"))).select(F.col("a.rule_idx").alias("x"), F.col("b.rule_idx").alias("y"), F.col("a.rule_text").alias("p"), F.col("b.rule_text").alias("q")).distinct()
     return p.select("x", "y", F.round(R.token_set_ratio("p", "q"), 4).alias("ratio"))
 

@@ -54,3 +54,21 @@ def test_near_copies_go(spark):
     assert out.columns == docs.columns
     assert sorted(r.doc_id if r.doc_id is not None else -1 for r in out.collect()) == [-1, *range(30), 59, 90, 92]
     assert dict(pipeline.STAGES)["near_dedup"](spark, docs.limit(0), "").count() == 0
+
+
+def test_every_stage_on_edge_cases(spark, tmp_path):
+    """Null, empty, very long, tied and repeated rows, clashing columns, then an empty table."""
+    long = " ".join(f"w{i % 977}" for i in range(30_000))
+    rows = [(1, None), (2, ""), (3, " \n "), (4, "one"), (5, long), (6, "same text here"), (7, "same text here"), (7, "same text here"), (None, "no id at all here"), (None, None), (8, "Größe ÄÖ été")]
+    docs = spark.createDataFrame([(i, t, "en", None, None, 7, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, key int, id string").withColumns({c: __import__("pyspark.sql.functions", fromlist=["lit"]).lit(1) for c in ("d", "t", "norm", "root", "score", "taken", "n", "h")})
+    d = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, None), (2, "an item that no text holds")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    ids = lambda df: sorted(-1 if r.doc_id is None else r.doc_id for r in df.collect())
+    every = sorted(-1 if i is None else i for i, _ in rows)
+    want = {"quality": every, "line_dedup": every, "decontaminate": every, "near_dedup": [-1, -1, 1, 4, 5, 6, 8]}
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, d)
+        assert name == "mixing" or out.columns == docs.columns
+        assert set(docs.columns) <= set(out.columns) and (ids(out) == want[name] if name in want else out.count() > 0)
+        assert stage(spark, docs.limit(0), d).count() == 0

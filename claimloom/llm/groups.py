@@ -39,6 +39,7 @@ def linked(sent: DataFrame, alike: Callable[[Column, Column, Column, Column], Co
     for level in range(levels + 1):
         seen = now.withColumns({"n": F.count("*").over(whole), "lo": F.min("root").over(whole), "hi": F.max("root").over(whole)} | {f"{c}2": F.lag(c).over(order) for c in ("o", "z", "id", "root")})
         apart = spool.cut(seen.where("lo <> hi and n > 2" if not level else "lo <> hi").drop("lo", "hi"))  # of two, the one pair has been compared
+        spool.tidy()
         if level:
             waiting.append(_pairs(apart.where("n > 2 and root <> root2"), alike))
         waiting.append(_all_pairs(apart.where(F.col("n") <= CROWD), alike))
@@ -54,6 +55,7 @@ def linked(sent: DataFrame, alike: Callable[[Column, Column, Column, Column], Co
         waiting = [_all_pairs(now, alike)]
     found.append(spool.cut(verify(_union(waiting).distinct())))
     spool.drop(met)
+    spool.tidy()
     return _roots(found)
 
 

@@ -9,6 +9,7 @@ from .lm import op1_lm
 from .mixing import op2_mixing
 from .pii import op9_pii
 from .quality import op10_quality
+from .runs import OP11_SQL, op11_periodic_runs
 from .simhash import op3_simhash
 from .toxicity import op4_toxicity
 from .url_filter import OP5_SQL, op5_url_filter
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_pii": op9_pii,
     "op10_quality": op10_quality,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_url_filter": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_url_filter": OP5_SQL, "op11_periodic_runs": OP11_SQL}

@@ -12,6 +12,10 @@ from ..sources.scratch import new_path
 #: The white space that parts words in every contract of this subpackage.
 SPACE = "[\\x20\\x09-\\x0D]+"
 
+#: In DuckDB's SQL, the unsigned CRC-32 of a number's decimal text, bit by bit: eight steps for each character.
+CRC = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split({0}::VARCHAR, ''), lambda ch: [ascii(ch)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda acc, x: xor(xor(acc, x) >> 1, 3988292384 * (xor(acc, x) & 1))))"""
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

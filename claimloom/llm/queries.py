@@ -12,6 +12,7 @@ from .quality import op10_quality
 from .runs import OP11_SQL, op11_periodic_runs
 from .simhash import op3_simhash
 from .toxicity import op4_toxicity
+from .trie import OP12_SQL, op12_prefix_trie
 from .url_filter import OP5_SQL, op5_url_filter
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_quality": op10_quality,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_url_filter": OP5_SQL, "op11_periodic_runs": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_url_filter": OP5_SQL, "op11_periodic_runs": OP11_SQL, "op12_prefix_trie": OP12_SQL}

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, words
+from .common import CRC, table, words
 
 RUNS = "array<struct<start:long,length:long,period:long>>"
 _RUN = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])
@@ -183,10 +183,6 @@ def op11_periodic_runs(spark, sf_dir: str) -> DataFrame:
     )
 
 
-#: The CRC-32 of a decimal number as text, bit by bit: eight steps for each digit.
-CRC = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split({0}::VARCHAR, ''), lambda ch: [ascii(ch)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
-    lambda acc, x: xor(xor(acc, x) >> 1, 3988292384 * (xor(acc, x) & 1))))"""
-
 OP11_SQL = f"""
 WITH ids AS (SELECT DISTINCT doc_id, {CRC.format("doc_id")} AS h FROM documents),
 split AS (

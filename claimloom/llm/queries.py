@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op6_decontaminate
+from .html_text import OP13_SQL, op13_html_text
 from .line_dedup import op7_line_dedup
 from .minhash import op8_minhash
 from .lm import op1_lm
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_quality": op10_quality,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_html_text": op13_html_text,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_url_filter": OP5_SQL, "op11_periodic_runs": OP11_SQL, "op12_prefix_trie": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_url_filter": OP5_SQL, "op11_periodic_runs": OP11_SQL, "op12_prefix_trie": OP12_SQL, "op13_html_text": OP13_SQL}

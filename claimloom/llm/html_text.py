@@ -37,8 +37,8 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 ROLES = set("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form tablist".split())
 
 #: Words of class names and ids that name something else than content: whole words, then beginnings.
-LABELS = set("ad ads adv nav navs header aside login signup share shares sharing social tags toc hidden skip promo".split())
-LABEL_STARTS = tuple("advert sponsor breadcrumb cookie consent newsletter subscri popup modal overlay sidebar navbar navig footer disqus comment repl respon widget related recommend masthead banner menu toolbar topbar pagination pager notice notification alert copyright disclaimer discussion".split())
+LABELS = set("ad ads adv nav navs header aside login signup share shares sharing social tags toc hidden skip promo reply replies respond responses".split())
+LABEL_STARTS = tuple("advert sponsor breadcrumb cookie consent newsletter subscri popup modal overlay sidebar navbar navig footer disqus comment widget related recommend masthead banner menu toolbar topbar pagination pager notice notification alert copyright disclaimer discussion".split())
 #: Names with one of these words only say what is or isn't elsewhere, as in "no-sidebar".
 ABOUT = {"no", "not", "has", "with", "without", "is"}
 _WORD, _NAME = re.compile(r"[a-z]+"), re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -47,8 +47,8 @@ _WORD, _NAME = re.compile(r"[a-z]+"), re.compile(r"(?<=[a-z])(?=[A-Z])")
 def labelled(names: str) -> bool:
     """Whether one of the class names or ids begins or ends with a word that names no content."""
     for name in names.split():
-        w = _WORD.findall(_NAME.sub("-", name).lower())
-        if w and not ABOUT.intersection(w) and any(x in LABELS or x.startswith(LABEL_STARTS) for x in (w[0], w[-1])):
+        parted, whole = _WORD.findall(_NAME.sub("-", name).lower()), _WORD.findall(name.lower())
+        if whole and not ABOUT.intersection(parted) and any(x in LABELS or x.startswith(LABEL_STARTS) for w in (parted, whole) for x in (w[0], w[-1])):
             return True
     return False
 

@@ -19,9 +19,9 @@ QUESTION = r"^(Q:|\*\*Q:|Q1:|\*\*Q1:|\*\*What|\*\*How|\*\*Is|\*\*Are|\*\*Does|\*
 ANSWER = r"^(A:|\*\*A:|A1:|\*\*A1:)"
 
 
-def sentences(docs: DataFrame, key: str = "run_id") -> DataFrame:
-    """(key, text) -> (key, pos, sentence)."""
-    return docs.select(key, F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
+def sentences(docs: DataFrame, *keep: str, key: str = "run_id") -> DataFrame:
+    """(key, text) -> (key, columns to keep, pos, sentence)."""
+    return docs.select(key, *keep, F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
 
 
 def lines(docs: DataFrame, key: str = "run_id") -> DataFrame:

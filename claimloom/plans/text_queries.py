@@ -8,6 +8,7 @@ from ..functions import lexicon
 from ..functions import text as T
 from ..operators import claims as C
 from ..operators import rules as R
+from ..operators import similarity as S
 from . import tables as t
 from .registry import query
 
@@ -152,10 +153,9 @@ JACCARD = "len(list_intersect(words, rule_words)) / len(list_distinct(list_conca
     f"WITH {t.CTE['docs']}, {t.CTE['sentences']}, {t.CTE['rules']}, {RULE_WORDS} SELECT run_id, pos, rule_idx, round({JACCARD}, 6) AS similarity FROM sw JOIN rw USING (product_id) WHERE {JACCARD} >= 0.3",
 )
 def jaccard_match(spark, d):
-    s = C.sentences(t.docs(spark, d)).join(t.docs(spark, d).select("run_id", "product_id"), "run_id").withColumn("words", T.word_set(F.col("sentence")))
+    s = C.sentences(t.docs(spark, d), "product_id").select("run_id", "product_id", "pos", T.word_set(F.col("sentence")).alias("words"))
     r = t.rules(spark, d).where("rule_type in ('authorized', 'prohibited')").withColumn("rule_words", T.word_set(F.col("rule_text")))
-    j = s.join(r, "product_id").withColumn("j", T.jaccard(F.col("words"), F.col("rule_words"))).where("j >= 0.3")
-    return j.select("run_id", "pos", "rule_idx", F.round("j", 6).alias("similarity"))
+    return S.jaccard_join(s, r, ["product_id"], threshold=0.3).select("run_id", "pos", "rule_idx", F.round("similarity", 6).alias("similarity"))
 
 
 @query(
@@ -168,7 +168,7 @@ def jaccard_match(spark, d):
     UNION ALL SELECT run_id, p, 'Unsupported', s FROM lone LEFT JOIN fm USING (run_id) WHERE first_match IS NULL OR p < first_match""",
 )
 def screen_claims(spark, d):
-    s = C.sentences(t.docs(spark, d)).join(t.docs(spark, d).select("run_id", "product_id"), "run_id")
+    s = C.sentences(t.docs(spark, d), "product_id")
     return R.screen(s, t.rules(spark, d), 0.3)
 
 

@@ -536,9 +536,28 @@ def semantic_topk(spark, d):
     return U.semantic_topk(*_vectors(spark, d), k=3, least=0.1).select("claim_id", "rule_idx", F.round("cosine", 4).alias("cosine"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("semantic_reduction", "SELECT CAST(product_id AS INTEGER) AS product_id, c * r AS before, c * least(r, 5) AS after, round(100 * (1 - least(r, 5) / r), 4) AS reduction_pct FROM (SELECT label AS product_id, count(*) AS c, count(*) AS r FROM embeddings GROUP BY 1)")
+LETTERS = "list_transform(string_split('abcdefghijklmnopqrstuvwxyz', ''), lambda x: CAST(length(lower({0})) - length(replace(lower({0}), x, '')) AS DOUBLE))"
+FILTERED = f"""{PARTS}, near AS (SELECT claim_id, rule_idx, product_id, list_cosine_similarity({LETTERS.format("claim")}, {LETTERS.format("rule_text")}) AS cosine FROM pc JOIN pr USING (product_id, category)),
+kept AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY cosine DESC, rule_idx) AS rank FROM near WHERE cosine >= 0.83 QUALIFY rank <= 3)"""
+
+
+def _filtered(spark, d):
+    claims, rules = _parts(spark, d)
+    return U.filtered_pairs(claims.withColumn("vector", U.letters(F.col("claim"))), rules.withColumn("vector", U.letters(F.col("rule_text"))), k=3, least=0.83)
+
+
+@query("audit_filtered_pairs", f"WITH {FILTERED} SELECT claim_id, rule_idx, round(cosine, 6) AS cosine FROM kept")
+def audit_filtered_pairs(spark, d):
+    return _filtered(spark, d).select("claim_id", "rule_idx", F.round("cosine", 6).alias("cosine"))
+
+
+@query(
+    "semantic_reduction",
+    f"""WITH {FILTERED}, b AS (SELECT product_id, count(*) AS before FROM near GROUP BY 1), a AS (SELECT product_id, count(*) AS after FROM kept GROUP BY 1)
+    SELECT product_id, before, coalesce(after, 0) AS after, round(100 * (1 - coalesce(after, 0) / before), 4) AS reduction_pct FROM b LEFT JOIN a USING (product_id)""",
+)
 def semantic_reduction(spark, d):
-    return U.reduction(*_vectors(spark, d))
+    return U.measured_reduction(*_parts(spark, d), _filtered(spark, d))
 
 
 @query("nli_dataset_export", f"WITH {PARTS}, pm AS (SELECT product_id, min(rule_text) AS premise FROM pr GROUP BY 1) SELECT claim_id, product_id, premise, claim, '' AS label FROM pc JOIN pm USING (product_id) WHERE category <> 'PROMO'")

@@ -26,6 +26,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """The rows from a table written to the shared folder, so that they are computed once."""
+    at = new_path(rows.sparkSession, name)
+    rows.write.parquet(at, compression="zstd")
+    return rows.sparkSession.read.schema(rows.schema).parquet(at)
+
+
 def spread(rows: DataFrame, key: str) -> DataFrame:
     """A scanned table, dealt out by key if its files give fewer tasks than there are cores: texts that
     are costly to process may come in a single small file. Larger tables stay as they are scanned."""

@@ -2,33 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
-
-# Patterns that open a block, by lower-cased trimmed line (the headings: by the line), in order.
-HEADERS = [
-    ("ad_headline", r"^(ad\s+)?headline\s*[:|-]?"), ("ad_primary", r"^primary(\s+text)?\s*[:|-]?"), ("ad_description", r"^description\s*[:|-]?"),
-    ("faq_question", r"^(\*\*)?q\d*\s*[:.-]?(\*\*)?|^question\s*[:|-]?"), ("faq_answer", r"^(\*\*)?a\d*\s*[:.-]?(\*\*)?|^answer\s*[:|-]?"),
-    ("blog_title", r"^#\s+"), ("blog_heading", r"^##\s+"), ("disclaimers", r"^(\*\*)?disclaimers?\s*[:|-]?(\*\*)?"),
-    ("meta", r"^(why\s+this\s+works|rationale|compliance\s+(rationale|notes)|analysis)\s*[:|-]?"),
-]
-#: Openers of a question and of an answer in the pair parser.
-QUESTION = r"^(Q:|\*\*Q:|Q1:|\*\*Q1:|\*\*What|\*\*How|\*\*Is|\*\*Are|\*\*Does|\*\*Can)"
-ANSWER = r"^(A:|\*\*A:|A1:|\*\*A1:)"
-
+from . import parsing
+from .parsing import parsed
 
 def sentences(docs: DataFrame, *keep: str, key: str = "run_id") -> DataFrame:
     """(key, text) -> (key, columns to keep, pos, sentence)."""
     return docs.select(key, *keep, F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
 
 
-def lines(docs: DataFrame, key: str = "run_id") -> DataFrame:
-    """(key, line_no, line, line_start): lines with the offset of their first character."""
-    out = docs.select(key, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    before = F.sum(F.length("line") + 1).over(Window.partitionBy(key).orderBy("line_no")) - F.length("line") - 1
-    return out.withColumn("line_start", before)
+def text_sentences(docs: DataFrame, key: str = "run_id") -> DataFrame:
+    """(key, text) -> (key, pos, start, end, sentence, exact): sentences of whole texts, blocks or not, with
+    exact offsets; `exact` says that the text holds the sentence there. Linear in the text."""
+    each = lambda text: ((n, a, b, s, text[a:b] == s) for n, (a, b, s) in enumerate(parsing.sentences(text)))
+    return parsed(docs, key, each, "pos int, start long, end long, sentence string, exact boolean")
 
 
 def blocks(docs: DataFrame, key: str = "run_id") -> DataFrame:
@@ -36,60 +30,64 @@ def blocks(docs: DataFrame, key: str = "run_id") -> DataFrame:
 
     A header line opens a block and is not part of it; disclaimers belong to the family of the block
     before; `---` before a line about disclaimers opens blog disclaimers. Blank blocks are dropped,
-    and a text without any is one block of kind unknown. The end is the start plus the length.
+    and a text without any is one block of kind unknown; of a null text, with a null end. The end is the
+    start plus the length. Rows are parsed one by one in the scan's stage, whole, in linear time.
     """
-    low = F.regexp_replace(F.lower("line"), r"^\s+|\s+$", "")
-    head = None
-    for kind, p in HEADERS:
-        cond = (F.col("line") if kind.startswith("blog") else low).rlike(p)
-        head = F.when(cond, kind) if head is None else head.when(cond, kind)
-    per = Window.partitionBy(key).orderBy("line_no")
-    rule = (F.regexp_replace("line", r"^\s+|\s+$", "") == "---") & F.contains(F.lower(F.lead("line").over(per)), F.lit("disclaimer"))
-    tagged = lines(docs, key).withColumn("head", head.when(rule, "blog_disclaimers"))
-    # a disclaimer header takes the family of the last other header before it
-    family = F.last(F.when(F.col("head") != "disclaimers", F.split("head", "_")[0]), ignorenulls=True).over(per)
-    named = F.when(F.col("head") != "disclaimers", F.col("head")).when(F.col("head").isNotNull(), F.when(family.isin("ad", "faq"), F.concat(family, F.lit("_disclaimers"))).otherwise("blog_disclaimers"))
-    tagged = tagged.withColumn("named", named).withColumn("block", F.count("named").over(per))
-    body = tagged.where("named is null")
-    kinds = tagged.where("named is not null").select(key, "block", F.col("named").alias("kind"))
-    joined = body.groupBy(key, "block").agg(F.min("line_start").alias("start"), F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("ls"))
-    joined = joined.withColumn("text", F.array_join(F.transform("ls", lambda x: x["line"]), "\n"))
-    kept = joined.where(F.regexp_replace("text", r"\s+", "") != "").join(kinds, [key, "block"], "left")
-    kept = kept.select(key, "block", F.coalesce("kind", F.lit("unknown")).alias("kind"), F.col("start").cast("long").alias("start"), (F.col("start") + F.length("text")).cast("long").alias("end"), "text")
-    bare = docs.join(kept.select(key).distinct(), key, "left_anti")
-    zero = F.lit(0).cast("long")
-    return kept.unionByName(bare.select(key, zero.alias("block"), F.lit("unknown").alias("kind"), zero.alias("start"), F.length("text").cast("long").alias("end"), "text"))
-
-
-def block_sentences(blocks_: DataFrame, key: str = "run_id") -> DataFrame:
-    """The sentences of each block with offsets in the whole text."""
-    s = blocks_.select(key, "block", "kind", F.col("start").alias("block_start"), F.posexplode(T.sentences_with_offsets(F.col("text"))).alias("sent", "s"))
-    return s.select(key, "block", "kind", "sent", (F.col("block_start") + F.col("s.start")).alias("start"), (F.col("block_start") + F.col("s.end")).alias("end"), F.col("s.piece").alias("sentence"))
+    return parsed(docs, key, parsing.blocks, "block long, kind string, start long, end long, text string")
+
+
+SENTENCE = "block long, kind string, sent int, start long, end long, sentence string, sent_index int"
+
+
+def block_sentences(docs: DataFrame, key: str = "run_id") -> DataFrame:
+    """(key, text) -> the sentences of each block with offsets in the whole text."""
+    return parsed(docs, key, parsing.block_sentences, SENTENCE).drop("sent_index")
 
 
 def claim_records(docs: DataFrame, include_meta: bool = False, key: str = "run_id") -> DataFrame:
-    """Candidate claims: sentences with a trigger. The index counts all sentences outside meta blocks."""
-    s = block_sentences(blocks(docs, key), key)
-    if not include_meta:
-        s = s.where("kind <> 'meta'")
-    n = F.row_number().over(Window.partitionBy(key).orderBy("block", "sent")) - 1
-    s = s.withColumn("sent_index", n).withColumn("trigger_types", T.triggers(F.col("sentence"))).where(F.size("trigger_types") > 0)
+    """Candidate claims: sentences with a trigger. The index counts all sentences outside meta blocks,
+    or with include_meta all."""
+    s = parsed(docs, key, _numbered if include_meta else parsing.block_sentences, SENTENCE).where("sent_index is not null")
+    s = s.withColumn("trigger_types", T.triggers(F.col("sentence"))).where(F.size("trigger_types") > 0)
     kind = F.when(F.contains("kind", F.lit("disclaimer")), "disclaimer").when(F.col("kind") == "meta", "meta").otherwise("product_claim")
     return s.select(key, F.format_string("%s::sent%03d", F.col(key).cast("string"), F.col("sent_index")).alias("claim_id"), "sentence", "sent_index", "start", "end", "trigger_types", F.col("kind").alias("block_kind"), kind.alias("claim_kind"))
 
 
+def _numbered(text: str | None) -> Iterator[tuple]:
+    return ((*s[:-1], n) for n, s in enumerate(parsing.block_sentences(text)))
+
+
+def _with_claims(docs: DataFrame, key: str) -> DataFrame:
+    """(key, text, claims array) of the texts that have claims."""
+    p = parsed(docs, key, parsing.block_sentences, SENTENCE, keep=True)
+    claims = F.filter("found", lambda s: s["sent_index"].isNotNull() & T.anchored(s["sentence"]))
+    return p.withColumn("claims", claims).where(F.size("claims") > 0).drop("found")
+
+
 def offsets_check(claims: DataFrame, docs: DataFrame, key: str = "run_id") -> DataFrame:
-    """For each text: claims whose span holds their sentence, and those whose doesn't, or lies outside."""
+    """For each text: claims (of any table) whose span holds their sentence, and those whose doesn't, or lies outside."""
     j = claims.join(docs.select(key, "text"), key)
     inside = (F.col("start") >= 0) & (F.col("end") <= F.length("text"))
     right = inside & (F.substring("text", F.col("start").cast("int") + 1, F.length("sentence")) == F.col("sentence"))
     return j.groupBy(key).agg(F.count_if(right).alias("n_right"), F.count_if(~right).alias("n_wrong"), F.count_if(~inside).alias("n_outside"))
 
 
-def excerpt(claims: DataFrame, docs: DataFrame, margin: int = 200, most: int = 1500, key: str = "run_id") -> DataFrame:
+def own_offsets_check(docs: DataFrame, key: str = "run_id") -> DataFrame:
+    """The same of the claims that claim_records() finds in each text, in the scan's stage; texts without claims have no row."""
+    x = _with_claims(docs, key).select(key, "text", F.transform("claims", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["sentence"].alias("sentence"))).alias("claims"))
+    out = StructType([x.schema[key], *StructType.fromDDL("n_right long, n_wrong long, n_outside long").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = [parsing.held(t.as_py(), c.as_py()) for t, c in zip(b.column(1), b.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in n], pa.int64()) for k in range(3))], out.names)
+
+    return x.mapInArrow(run, out)
+
+
+def claim_excerpt(docs: DataFrame, margin: int = 200, most: int = 1500, key: str = "run_id") -> DataFrame:
     """The window from `margin` before the first claim to `margin` after the last if it fits `most`, else head and tail of the text."""
-    span = claims.groupBy(key).agg(F.min("start").alias("a"), F.max("end").alias("b"))
-    j = docs.select(key, "text").join(span, key)
+    j = _with_claims(docs, key).select(key, "text", F.array_min(F.transform("claims", lambda c: c["start"])).alias("a"), F.array_max(F.transform("claims", lambda c: c["end"])).alias("b"))
     a, b = F.greatest(F.col("a") - margin, F.lit(0)), F.least(F.col("b") + margin, F.length("text"))
     window = F.substring("text", a.cast("int") + 1, (b - a).cast("int"))
     ends = F.concat(F.substring("text", 1, most // 2), F.lit("\n...\n"), F.right("text", F.lit(most // 2)))
@@ -98,33 +96,14 @@ def excerpt(claims: DataFrame, docs: DataFrame, margin: int = 200, most: int = 1
 
 def faq_pairs(docs: DataFrame, key: str = "run_id") -> DataFrame:
     """Question and answer pairs by lines; a line about disclaimers ends the text, other lines continue the answer."""
-    per = Window.partitionBy(key).orderBy("line_no")
-    l = lines(docs, key).withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", "")).where("line <> '' and not startswith(line, '===') and not startswith(line, '---')")
-    l = l.withColumn("over", F.max(F.col("line").rlike("Disclaimer|DISCLAIMER")).over(per)).where("not over")
-    l = l.withColumn("is_q", F.col("line").rlike(QUESTION)).withColumn("pair", F.sum(F.col("is_q").cast("int")).over(per)).where("pair > 0")
-    clean = lambda c, x: F.regexp_replace(F.regexp_replace(c, r"\*\*", ""), rf"{x}[1-5]?:", "")
-    is_a = F.col("line").rlike(ANSWER)
-    said = F.when(F.col("is_q"), clean("line", "Q")).when(is_a, clean("line", "A")).when(~F.startswith("line", F.lit("#")), F.col("line"))
-    l = l.withColumn("said", F.regexp_replace(said, r"^\s+|\s+$", "")).where("said is not null")
-    answer = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("is_q"), F.struct("line_no", "said")))), lambda x: x["said"]), " ")
-    out = l.groupBy(key, "pair").agg(F.max(F.when(F.col("is_q"), F.col("said"))).alias("question"), answer.alias("answer"), F.count_if(~F.col("is_q")).alias("n"))
-    return out.where("question <> '' and n > 0").select(key, F.col("pair").cast("int").alias("pair"), "question", "answer")
+    return parsed(docs, key, parsing.faq_pairs, "pair int, question string, answer string")
 
 
 def ad_format(docs: DataFrame, limits: dict[str, int] | None = None, key: str = "run_id") -> DataFrame:
     """Headline, primary text and description of an advertisement, their lengths and limits. The next
-    non-blank line fills a section whose header line is bare; of repeated headers the last counts."""
+    non-blank line fills a section whose header line is bare; of repeated headers the last with content counts."""
     limits = limits or {"headline": 40, "primary": 125, "description": 30}
-    per = Window.partitionBy(key).orderBy("line_no")
-    l = lines(docs, key).withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", "")).where("line <> ''")
-    low = F.lower("line")
-    head = F.when(F.startswith(low, F.lit("headline:")), "headline").when(F.startswith(low, F.lit("primary text:")) | F.startswith(low, F.lit("primary:")), "primary").when(F.startswith(low, F.lit("description:")), "description")
-    l = l.withColumn("head", head).withColumn("turn", F.count("head").over(per)).where("turn > 0").withColumn("section", F.last("head", ignorenulls=True).over(per))
-    own = F.when(F.col("head").isNotNull(), F.trim(F.regexp_replace("line", r"^[^:]*:", ""))).otherwise(F.col("line"))
-    parts = l.withColumn("own", own).where("own <> ''").groupBy(key, "section", "turn").agg(F.min_by("own", "line_no").alias("own"))
-    parts = parts.groupBy(key, "section").agg(F.max_by("own", "turn").alias("own"))
-    wide = parts.groupBy(key).agg(*[F.coalesce(F.max(F.when(F.col("section") == s, F.col("own"))), F.lit("")).alias(s) for s in limits])
-    wide = docs.select(key).join(wide, key, "left").select(key, *[F.coalesce(s, F.lit("")).alias(s) for s in limits])
+    wide = parsed(docs, key, parsing.ad_sections, ", ".join(f"{s} string" for s in parsing.SECTIONS))
     out = wide.withColumns({f"{s}_length": F.length(s) for s in limits} | {f"{s}_exceeds": F.length(s) > n for s, n in limits.items()})
     return out.withColumn("format_valid", (F.col("headline") != "") & (F.col("primary") != "") & (F.col("description") != "")).withColumn("any_limit_exceeded", F.col("headline_exceeds") | F.col("primary_exceeds") | F.col("description_exceeds"))
 

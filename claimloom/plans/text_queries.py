@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon
 from ..functions import text as T
 from ..operators import claims as C
+from ..operators import parsing as P
 from ..operators import rules as R
 from ..operators import similarity as S
 from . import tables as t
@@ -42,20 +43,50 @@ def split_sentences_simple(spark, d):
     return C.sentences(t.docs(spark, d))
 
 
-@query("split_sentences_offsets")
+BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+HEADS = " ".join(f"WHEN regexp_matches({'line' if k.startswith('blog') else 'low'}, '{p}') THEN '{k}'" for k, p in P.HEADERS)
+LINES = f"""lines AS (SELECT *, trim(line, {BLANK}) AS trimmed, lower(trim(line, {BLANK})) AS low, lead(line) OVER w AS nxt, coalesce(sum(length(line) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
+    FROM (SELECT run_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM docs) WINDOW w AS (PARTITION BY run_id ORDER BY no))"""
+BLOCKS = f"""{LINES},
+heads AS (SELECT *, CASE {HEADS} WHEN trimmed = '---' AND contains(lower(nxt), 'disclaimer') THEN 'blog_disclaimers' END AS head FROM lines),
+named AS (SELECT *, CASE WHEN head <> 'disclaimers' THEN head WHEN head IS NOT NULL THEN CASE WHEN family IN ('ad', 'faq') THEN family || '_disclaimers' ELSE 'blog_disclaimers' END END AS kind
+    FROM (SELECT *, last_value(CASE WHEN head <> 'disclaimers' THEN split_part(head, '_', 1) END IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY no) AS family FROM heads)),
+counted AS (SELECT *, count(kind) OVER (PARTITION BY run_id ORDER BY no) AS block FROM named),
+bodies AS (SELECT run_id, block, min(off) AS start, string_agg(line, chr(10) ORDER BY no) AS text FROM counted WHERE kind IS NULL GROUP BY ALL HAVING trim(string_agg(line, chr(10) ORDER BY no), {BLANK}) <> ''),
+blocks AS (
+    SELECT b.run_id, b.block, coalesce(c.kind, 'unknown') AS kind, CAST(b.start AS BIGINT) AS start, CAST(b.start + length(b.text) AS BIGINT) AS "end", b.text FROM bodies b LEFT JOIN counted c ON b.run_id = c.run_id AND b.block = c.block AND c.kind IS NOT NULL
+    UNION ALL SELECT run_id, 0, 'unknown', 0, length(text), text FROM docs ANTI JOIN bodies USING (run_id))"""
+#: A mark after the punctuation that ends a sentence; white space stays with the pieces, which are trimmed.
+CUT = r"string_split(regexp_replace(regexp_replace({0}, '([.!?])(\s+[A-Z])', '\1' || chr(1) || '\2', 'g'), '([.!?])(\n)', '\1' || chr(1) || '\2', 'g'), chr(1))"
+
+
+def _pieces(source: str, key: str, text: str, at: str = "0") -> str:
+    """Sentences of the rows of a table with their offsets, numbered by the rows' key."""
+    return f"""SELECT {key}, CAST(row_number() OVER (PARTITION BY {key} ORDER BY no) - 1 AS INTEGER) AS sent, CAST(first + length(piece) - length(ltrim(piece, {BLANK})) AS BIGINT) AS start,
+    CAST(first + length(piece) - length(ltrim(piece, {BLANK})) + length(trim(piece, {BLANK})) AS BIGINT) AS "end", trim(piece, {BLANK}) AS sentence
+    FROM (SELECT *, off + coalesce(sum(length(piece)) OVER (PARTITION BY {key} ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
+    FROM (SELECT {key}, {at} AS off, unnest({CUT.format(text)}) AS piece, generate_subscripts({CUT.format(text)}, 1) AS no FROM {source})) WHERE trim(piece, {BLANK}) <> ''"""
+
+
+SENTENCES = f"""{BLOCKS}, cut AS ({_pieces("blocks", "run_id, block, kind", "text", "start")})"""
+RECORDS = f"""{SENTENCES}, told AS (SELECT *, list_filter({TRIGGERS_SQL}, lambda x: x IS NOT NULL) AS a, row_number() OVER (PARTITION BY run_id ORDER BY block, sent) - 1 AS sent_index FROM cut WHERE kind <> 'meta'),
+records AS (SELECT *, CASE WHEN list_has_any(regexp_extract_all(lower(sentence), '\\w+', 0), {VERBS_SQL}) THEN list_append(a, 'claim_verb') ELSE a END AS trigger_types FROM told WHERE len(a) > 0)"""
+
+
+@query("split_sentences_offsets", f"""WITH {t.CTE["docs"]}, s AS ({_pieces("docs", "run_id", "text")}) SELECT run_id, sent AS pos, CAST(start AS INTEGER) AS start, CAST("end" AS INTEGER) AS "end", sentence, true AS exact FROM s""")
 def split_sentences_offsets(spark, d):
-    s = t.docs(spark, d).select("run_id", "text", F.posexplode(T.sentences_with_offsets(F.col("text"))).alias("pos", "s"))
-    return s.select("run_id", "pos", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.piece").alias("sentence"), (F.substring("text", F.col("s.start") + 1, F.length("s.piece")) == F.col("s.piece")).alias("exact"))
+    s = C.text_sentences(t.docs(spark, d))
+    return s.select("run_id", "pos", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "sentence", "exact")
 
 
-@query("parse_blocks")
+@query("parse_blocks", f"WITH {t.CTE['docs']}, {BLOCKS} SELECT * FROM blocks")
 def parse_blocks(spark, d):
     return C.blocks(t.docs(spark, d))
 
 
-@query("block_sentences")
+@query("block_sentences", f"WITH {t.CTE['docs']}, {SENTENCES} SELECT * FROM cut")
 def block_sentences(spark, d):
-    return C.block_sentences(C.blocks(t.docs(spark, d)))
+    return C.block_sentences(t.docs(spark, d))
 
 
 @query(
@@ -69,21 +100,31 @@ def claim_triggers(spark, d):
     return s.select("run_id", "pos", F.array_join("tags", ",").alias("tags"))
 
 
-@query("claim_records")
+@query(
+    "claim_records",
+    f"""WITH {t.CTE['docs']}, {RECORDS} SELECT run_id, run_id || '::sent' || lpad(sent_index::VARCHAR, CAST(greatest(3, length(sent_index::VARCHAR)) AS INTEGER), '0') AS claim_id, sentence, CAST(sent_index AS INTEGER) AS sent_index, start, "end", array_to_string(trigger_types, ',') AS trigger_types, kind AS block_kind,
+    CASE WHEN contains(kind, 'disclaimer') THEN 'disclaimer' ELSE 'product_claim' END AS claim_kind FROM records""",
+)
 def claim_records(spark, d):
-    return C.claim_records(t.docs(spark, d))
+    return C.claim_records(t.docs(spark, d)).withColumn("trigger_types", F.array_join("trigger_types", ","))
 
 
-@query("claim_offsets_check")
+@query(
+    "claim_offsets_check",
+    f"""WITH {t.CTE['docs']}, {RECORDS} SELECT run_id, count(*) FILTER (held) AS n_right, count(*) FILTER (NOT held) AS n_wrong, count(*) FILTER (NOT inside) AS n_outside
+    FROM (SELECT run_id, start >= 0 AND "end" <= length(text) AS inside, substring(text, start + 1, length(sentence)) = sentence AS held FROM records JOIN docs USING (run_id)) GROUP BY run_id""",
+)
 def claim_offsets_check(spark, d):
-    x = t.docs(spark, d)
-    return C.offsets_check(C.claim_records(x), x)
+    return C.own_offsets_check(t.docs(spark, d))
 
 
-@query("claim_excerpt")
+@query(
+    "claim_excerpt",
+    f"""WITH {t.CTE['docs']}, {RECORDS}, span AS (SELECT run_id, greatest(min(start) - 200, 0) AS a, max("end") + 200 AS b FROM records GROUP BY run_id)
+    SELECT run_id, CASE WHEN least(b, length(text)) - a <= 1500 THEN substring(text, a + 1, least(b, length(text)) - a) ELSE left(text, 750) || chr(10) || '...' || chr(10) || right(text, 750) END AS excerpt FROM span JOIN docs USING (run_id)""",
+)
 def claim_excerpt(spark, d):
-    x = t.docs(spark, d)
-    return C.excerpt(C.claim_records(x), x)
+    return C.claim_excerpt(t.docs(spark, d))
 
 
 def _faq(spark, d):
@@ -94,12 +135,31 @@ def _faq(spark, d):
     return g.select(F.col("conv_id").alias("run_id"), F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
 
 
-@query("faq_pairs")
+FAQ_LINES = f"""docs AS (SELECT conv_id AS run_id, string_agg(CASE role WHEN 'user' THEN 'Q: ' ELSE 'A: ' END || regexp_replace(text, '\\s+', ' ', 'g'), chr(10) ORDER BY turn) AS text FROM conversations WHERE role <> 'system' GROUP BY conv_id),
+{LINES}, told AS (SELECT run_id, no, trimmed AS line, regexp_matches(trimmed, '{P.QUESTION}') AS is_q FROM lines WHERE trimmed <> '' AND NOT starts_with(trimmed, '===') AND NOT starts_with(trimmed, '---')),
+upto AS (SELECT *, max(CAST(regexp_matches(line, 'Disclaimer|DISCLAIMER') AS INTEGER)) OVER (PARTITION BY run_id ORDER BY no) AS over FROM told),
+paired AS (SELECT *, sum(CAST(is_q AS INTEGER)) OVER (PARTITION BY run_id ORDER BY no) AS pair FROM upto WHERE over = 0),
+said AS (SELECT *, trim(CASE WHEN is_q THEN regexp_replace(replace(line, '**', ''), 'Q[1-5]?:', '', 'g') WHEN regexp_matches(line, '{P.ANSWER}') THEN regexp_replace(replace(line, '**', ''), 'A[1-5]?:', '', 'g') WHEN NOT starts_with(line, '#') THEN line END, {BLANK}) AS part FROM paired WHERE pair > 0)"""
+
+
+@query("faq_pairs", f"WITH {FAQ_LINES} SELECT run_id, CAST(pair AS INTEGER) AS pair, max(part) FILTER (is_q) AS question, string_agg(part, ' ' ORDER BY no) FILTER (NOT is_q) AS answer FROM said WHERE part IS NOT NULL GROUP BY run_id, pair HAVING max(part) FILTER (is_q) <> '' AND count(*) FILTER (NOT is_q) > 0")
 def faq_pairs(spark, d):
     return C.faq_pairs(_faq(spark, d))
 
 
-@query("ad_format_check")
+AD_LINES = f"""docs AS (SELECT page_id AS run_id, 'Headline: ' || url || chr(10) || 'Primary text:' || chr(10) || html || chr(10) || 'Description: ' || regexp_extract(url, '//([^/]*)', 1) AS text FROM pages),
+{LINES}, told AS (SELECT run_id, no, trimmed, CASE WHEN starts_with(low, 'headline:') THEN 'headline' WHEN starts_with(low, 'primary text:') OR starts_with(low, 'primary:') THEN 'primary' WHEN starts_with(low, 'description:') THEN 'description' END AS head FROM lines WHERE trimmed <> ''),
+turns AS (SELECT *, count(head) OVER w AS turn, last_value(head IGNORE NULLS) OVER w AS section FROM told WINDOW w AS (PARTITION BY run_id ORDER BY no)),
+own AS (SELECT run_id, section, turn, no, CASE WHEN head IS NOT NULL THEN trim(regexp_replace(trimmed, '^[^:]*:', '')) ELSE trimmed END AS own FROM turns WHERE turn > 0),
+parts AS (SELECT run_id, section, turn, arg_min(own, no) AS own FROM own WHERE own <> '' GROUP BY ALL),
+wide AS (SELECT run_id, coalesce(arg_max(own, turn) FILTER (section = 'headline'), '') AS headline, coalesce(arg_max(own, turn) FILTER (section = 'primary'), '') AS primary_, coalesce(arg_max(own, turn) FILTER (section = 'description'), '') AS description FROM docs LEFT JOIN parts USING (run_id) GROUP BY run_id)"""
+
+
+@query(
+    "ad_format_check",
+    f"""WITH {AD_LINES} SELECT run_id, headline, primary_ AS primary, description, length(headline) AS headline_length, length(primary_) AS primary_length, length(description) AS description_length, length(headline) > 40 AS headline_exceeds, length(primary_) > 125 AS primary_exceeds,
+    length(description) > 30 AS description_exceeds, headline <> '' AND primary_ <> '' AND description <> '' AS format_valid, length(headline) > 40 OR length(primary_) > 125 OR length(description) > 30 AS any_limit_exceeded FROM wide""",
+)
 def ad_format_check(spark, d):
     p = t.load(spark, d, "pages")
     text = F.concat(F.lit("Headline: "), F.col("url"), F.lit("\nPrimary text:\n"), F.col("html"), F.lit("\nDescription: "), F.regexp_extract("url", "//([^/]*)", 1))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import quantiles
 from .stats import range_of
 
 DECISIONS = ("Supported", "Contradicted", "Unsupported", "Ambiguous")
@@ -173,8 +174,12 @@ def level_strings(rows: DataFrame, by: str, column: str) -> DataFrame:
 
 
 def medians(rows: DataFrame, by: str, value: str, exact: bool = True) -> DataFrame:
-    med = F.percentile(value, 0.5) if exact else F.percentile_approx(value, 0.5)
-    return rows.groupBy(by).agg(F.count(value).alias("n"), F.round(F.avg(value), 4).alias("mean"), F.round(F.stddev_samp(value), 4).alias("std"), F.round(med, 4).alias("median"))
+    """Number, mean, deviation and median of each group's values; exact medians come by refining ranges (order.py)."""
+    base = [F.count(value).alias("n"), F.round(F.avg(value), 4).alias("mean"), F.round(F.stddev_samp(value), 4).alias("std")]
+    if not exact:
+        return rows.groupBy(by).agg(*base, F.round(F.percentile_approx(value, 0.5), 4).alias("median"))
+    med = quantiles(rows, [by], value, 0.5).select(F.col(by).alias("_by"), F.round("quantile", 4).alias("median"))
+    return rows.groupBy(by).agg(*base).join(med, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
 
 
 def first_last(rows: DataFrame, order: str, n: int) -> DataFrame:

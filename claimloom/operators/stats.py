@@ -9,6 +9,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+from .order import quantiles
+
 SCHEMA = "test string, statistic double, df1 double, df2 double, p double, result string"
 
 
@@ -147,10 +150,16 @@ def chi2_uniform(rows: DataFrame, factor: str) -> DataFrame:
     return t.select((F.col("k") - 1).alias("df"), (F.col("q") * F.col("k") / F.col("s") - F.col("s")).alias("chi2"))
 
 
-def range_of(values: DataFrame, column: str, parts: int = 256) -> Column:
+#: Distinct values that one task ranks.
+RANGE_ROWS = 100_000
+
+
+def range_of(values: DataFrame, column: str, parts: int | None = None) -> Column:
     """A range number for each value of a column of doubles: ranges of about as many rows each, whatever the
-    distribution, cut at approximate quantiles. Equal values are in one range, and ranges are in order."""
-    cuts = values.agg(F.percentile_approx(column, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
+    distribution, cut at approximate quantiles. Equal values are in one range, and ranges are in order.
+    Their number follows from the number of values, up to 1,024; few values are one range."""
+    parts = parts or min(1024, -(-values.count() // RANGE_ROWS))
+    cuts = (values.agg(F.percentile_approx(column, [i / parts for i in range(1, parts)], 20 * parts)).first()[0] or []) if parts > 1 else []
     cuts = sorted(set(cuts))  # parts - 1 numbers at most
 
     def below(lo: int, hi: int) -> Column:  # by halves: how many cuts are less than the value
@@ -164,11 +173,12 @@ def range_of(values: DataFrame, column: str, parts: int = 256) -> Column:
 
 def mid_ranks(rows: DataFrame, factor: str, value: str) -> DataFrame:
     """(factor, value, n, ties, rank): counts of the distinct values with the mean rank of each. The
-    running count is over distinct values, and in two steps: inside ranges, then over the ranges."""
-    c = rows.where(F.col(value).isNotNull() & F.col(factor).isNotNull()).groupBy(F.col(factor).alias("factor"), F.col(value).cast("double").alias("value")).agg(F.count("*").alias("n"))
-    v = c.groupBy("value").agg(F.sum("n").alias("ties"))
+    running count is over distinct values, and in two steps: inside ranges, then over the ranges.
+    Both counts are written once."""
+    c = written(rows.where(F.col(value).isNotNull() & F.col(factor).isNotNull()).groupBy(F.col(factor).alias("factor"), F.col(value).cast("double").alias("value")).agg(F.count("*").alias("n")), "counts")
+    v = written(c.groupBy("value").agg(F.sum("n").alias("ties")), "ties")
     v = v.withColumn("_b", range_of(v, "value"))
-    starts = v.groupBy("_b").agg(F.sum("ties").alias("_n")).select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"))  # 256 rows
+    starts = v.groupBy("_b").agg(F.sum("ties").alias("_n")).select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"))  # 1,024 rows at most
     upto = F.sum("ties").over(Window.partitionBy("_b").orderBy("value")) + F.col("_before")
     ranks = v.join(F.broadcast(starts), "_b").select("value", "ties", (upto - F.col("ties") + (F.col("ties") + 1) / 2).alias("rank"))
     return c.join(ranks, "value")
@@ -199,7 +209,7 @@ def mann_whitney(rows: DataFrame, factor: str, value: str, first: str, second: s
 
 def levene(rows: DataFrame, factor: str, value: str) -> DataFrame:
     """Analysis of variance of the distances from the group medians."""
-    med = rows.groupBy(factor).agg(F.percentile(value, 0.5).alias("_m"))
+    med = quantiles(rows, [factor], value, 0.5).select(factor, F.col("quantile").alias("_m"))
     return anova(rows.join(med, factor).withColumn("_z", F.abs(F.col(value) - F.col("_m"))), factor, "_z")
 
 

@@ -10,6 +10,7 @@ from ..operators import claims as C
 from ..operators import parsing as P
 from ..operators import rules as R
 from ..operators import similarity as S
+from ..operators import token_sets as TS
 from . import tables as t
 from .registry import query
 
@@ -234,17 +235,17 @@ def screen_claims(spark, d):
 
 @query("fuzzy_token_set")
 def fuzzy_token_set(spark, d):
-    """Every rule against the rules that share one of its rarer words."""
-    r = t.load(spark, d, "benchmark").select(F.col("item_id").alias("rule_idx"), F.col("text").alias("rule_text")).withColumn("w", F.explode(T.word_set(F.col("rule_text")))).where(F.length("w") > 4)
-    p = r.alias("a").join(r.alias("b"), (F.col("a.w") == F.col("b.w")) & (F.col("a.rule_idx") < F.col("b.rule_idx"))).select(F.col("a.rule_idx").alias("x"), F.col("b.rule_idx").alias("y"), F.col("a.rule_text").alias("p"), F.col("b.rule_text").alias("q")).distinct()
-    return p.select("x", "y", F.round(R.token_set_ratio("p", "q"), 4).alias("ratio"))
+    """The rules that are alike: every pair with a token set ratio of 60 or more."""
+    r = t.load(spark, d, "benchmark").select(F.col("item_id").alias("x"), F.lit(0).alias("one"), "text")
+    p = TS.token_set_join(r, r.select(F.col("x").alias("y"), "one", F.col("text").alias("rule_text")), ["one"], "x", ["y"], least=60.0)
+    return p.where("x < y").select("x", "y", F.round("ratio", 4).alias("ratio"))
 
 
 @query("rule_hit_rate")
 def rule_hit_rate(spark, d):
-    """Benchmark items as documents against the rules: each hits itself."""
-    items = t.load(spark, d, "benchmark").select(F.col("item_id").alias("run_id"), F.lit("en").alias("product_id"), "text")
-    return R.hit_rates(R.rule_hits(items, t.rules(spark, d)))
+    """Every document against the rules of its language."""
+    docs, rules = t.docs(spark, d), t.rules(spark, d)
+    return R.hit_rates(docs, rules, R.rule_hits(docs, rules))
 
 
 FORM = r"regexp_replace(regexp_replace(regexp_replace(lower({}), '^\s+|\s+$', '', 'g'), '[^\w\s]', '', 'g'), '\s+', ' ', 'g')"

@@ -10,6 +10,7 @@ from ..operators import aggregates as A
 from ..operators import audit as U
 from ..operators import compare as M
 from ..operators import design as D
+from ..operators import pair_scorer as PS
 from ..operators import rules as R
 from ..operators import runlog as L
 from ..operators import stats as S
@@ -462,7 +463,10 @@ def audit_numeric_rule(spark, d):
 
 @query("audit_score_pairs")
 def audit_score_pairs(spark, d):
-    return U.score_pairs(U.candidate_pairs(*_parts(spark, d))).select("claim_id", "rule_idx", "rule_type", "contradiction", "entailment", "neutral")
+    """Scored by a model that is trained on pairs made from the rules."""
+    claims, rules = _parts(spark, d)
+    model = PS.fit(PS.labelled_from_rules(rules))
+    return U.score_pairs(U.candidate_pairs(claims, rules), model).select("claim_id", "rule_idx", "rule_type", "contradiction", "entailment", "neutral")
 
 
 def _scored(spark, d):

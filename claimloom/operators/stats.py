@@ -219,6 +219,112 @@ def jarque_bera(rows: DataFrame, value: str) -> DataFrame:
     return rows.agg(n.alias("n"), s.alias("skewness"), k.alias("kurtosis"), (n / 6 * (s * s + k * k / 4)).alias("jb"))
 
 
+# Acklam's rational approximation of the normal quantile, numerators and denominators of its middle and tails.
+QUANTILE = {
+    "a": (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00),
+    "b": (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0),
+    "c": (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00),
+    "d": (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0),
+}
+QUANTILE_TAIL = 0.02425
+# Royston's corrections of the two outermost weights, by powers of 1 / sqrt(n) from the first.
+OUTER = (0.221157, -0.147981, -2.071190, 4.434685, -2.706056)
+NEXT = (0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
+
+
+def normal_quantile(p):
+    """Of an array of probabilities between 0 and 1."""
+    import numpy as np
+
+    p = np.asarray(p, float)
+    tail = np.minimum(p, 1 - p)
+    q = np.sqrt(-2 * np.log(np.minimum(tail, QUANTILE_TAIL)))
+    low = np.polyval(QUANTILE["c"], q) / np.polyval(QUANTILE["d"], q)
+    x = p - 0.5
+    mid = x * np.polyval(QUANTILE["a"], x * x) / np.polyval(QUANTILE["b"], x * x)
+    return np.where(tail < QUANTILE_TAIL, np.where(p < 0.5, low, -low), mid)
+
+
+#: Equal values whose normal scores are summed one by one; of more, by their integral.
+TIES = 100_000
+
+
+def _scores(before: float, ties: int, n: int) -> tuple[float, float]:
+    """Sum and sum of squares of the normal scores of the ranks after `before`."""
+    import numpy as np
+
+    at = lambda i: normal_quantile((np.asarray(i, float) - 0.375) / (n + 0.25))
+    if ties <= TIES:
+        m = at(before + 1 + np.arange(ties))
+        return float(m.sum()), float((m * m).sum())
+    z0, z1 = (float(at(before + x)) for x in (0.5, ties + 0.5))  # the midpoint rule, backwards
+    d0, d1 = (math.exp(-z * z / 2) / math.sqrt(2 * math.pi) for z in (z0, z1))
+    return (n + 0.25) * (d0 - d1), ties + (n + 0.25) * (z0 * d0 - z1 * d1)
+
+
+def shapiro_wilk(rows: DataFrame, value: str) -> DataFrame:
+    """One row (n, w, p): Shapiro and Wilk's test of normality, with Royston's weights and p-value.
+
+    The ordered values are weighted by normal scores of their ranks, which are counted in ranges as for the
+    rank tests; only the four outermost values and a few sums reach the driver. Nulls are left out, equal values
+    take the scores of their ranks; fewer than three values or all equal ones give a null w. The p-value is
+    fitted for up to 5,000 values and an extrapolation beyond.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    from pyspark.sql.types import StructType
+
+    spark = rows.sparkSession
+    v = written(mid_ranks(rows.withColumn("_one", F.lit(1)), "_one", value).select("value", F.col("ties").cast("long").alias("ties"), (F.col("rank") - (F.col("ties") + 1) / 2).alias("before")), "ranks")
+    total = v.agg(F.sum("ties").alias("n"), (F.sum(F.col("value") * F.col("ties")) / F.sum("ties")).alias("m")).first()
+    n, mean, out = total.n or 0, total.m, "n long, w double, p double"
+    ends = [[x for r in v.orderBy(o).limit(2).collect() for x in [r.value] * min(r.ties, 2)][:2] for o in ("value", F.desc("value"))]
+    if n < 3 or ends[0][0] == ends[1][0]:
+        return spark.createDataFrame([(n, None, None)], out)
+
+    def sums(batches):
+        t = np.zeros(3)
+        for b in batches:
+            for x, k, at in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                s, q = _scores(at, k, n)
+                t += (s * (x - mean), q, k * (x - mean) ** 2)
+        yield pa.RecordBatch.from_arrays([pa.array([float(x)]) for x in t], ["mx", "mm", "xx"])
+
+    g = v.select("value", "ties", "before").mapInArrow(sums, StructType.fromDDL("mx double, mm double, xx double")).agg(*[F.sum(c).alias(c) for c in ("mx", "mm", "xx")]).first()
+    m = normal_quantile((np.array([n, n - 1.0]) - 0.375) / (n + 0.25))
+    u = 1 / math.sqrt(n)
+    weight = [float(x / math.sqrt(g.mm)) + sum(c * u ** (i + 1) for i, c in enumerate(f)) for x, f in zip(m, (OUTER, NEXT), strict=True)]
+    wide = [ends[1][i] - ends[0][i] for i in (0, 1)]
+    k = 1 if n <= 5 else 2
+    if n == 3:
+        top = math.sqrt(0.5) * wide[0]
+    else:
+        scale = math.sqrt((g.mm - 2 * float((m[:k] ** 2).sum())) / (1 - 2 * sum(a * a for a in weight[:k])))
+        top = (g.mx - float((m[:k] * wide[:k]).sum())) / scale + sum(a * x for a, x in zip(weight[:k], wide[:k], strict=True))
+    w = min(1.0, top * top / g.xx)
+    return spark.createDataFrame([(n, w, _shapiro_tail(w, n))], out)
+
+
+def _shapiro_tail(w: float, n: int) -> float:
+    # Royston's fits of the distribution, by powers of n or of its logarithm.
+    if n == 3:
+        return max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
+    if w >= 1:
+        return 1.0
+    poly = lambda c, x: sum(a * x**i for i, a in enumerate(c))
+    if n <= 11:
+        gamma = poly((-2.273, 0.459), n)
+        y = math.log(1 - w)
+        if y >= gamma:
+            return 0.0
+        z = (-math.log(gamma - y) - poly((0.5440, -0.39978, 0.025054, -0.0006714), n)) / math.exp(poly((1.3822, -0.77857, 0.062767, -0.0020322), n))
+    else:
+        x = math.log(n)
+        z = (math.log(1 - w) - poly((-1.5861, -0.31082, -0.083751, 0.0038915), x)) / math.exp(poly((-0.4803, -0.082676, 0.0030302), x))
+    return 0.5 * math.erfc(z / math.sqrt(2))
+
+
 def effect_size(rows: DataFrame, value: str) -> DataFrame:
     d = F.try_divide(F.avg(value), F.stddev_samp(value))
     return rows.agg(d.alias("d")).withColumn("size", F.when(F.abs("d") < 0.2, "negligible").when(F.abs("d") < 0.5, "small").when(F.abs("d") < 0.8, "medium").otherwise("large"))

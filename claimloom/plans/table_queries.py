@@ -898,6 +898,36 @@ def normality_screen(spark, d):
     return j.select("n", F.round("skewness", 5).alias("skewness"), F.round("kurtosis", 5).alias("kurtosis"), F.round("jb", 2).alias("jb"))
 
 
+def _poly(c, x):
+    out = repr(c[0])
+    for a in c[1:]:
+        out = f"({out}) * {x} + ({a!r})"
+    return f"({out})"
+
+
+def _quantile_sql(p: str) -> str:
+    """The normal quantile of a column."""
+    q, x = f"sqrt(-2 * ln(least({p}, 1 - {p})))", f"({p} - 0.5)"
+    low = f"{_poly(S.QUANTILE['c'], q)} / {_poly(S.QUANTILE['d'], q)}"
+    return f"CASE WHEN least({p}, 1 - {p}) < {S.QUANTILE_TAIL} THEN CASE WHEN {p} < 0.5 THEN 1 ELSE -1 END * {low} ELSE {x} * {_poly(S.QUANTILE['a'], f'pow({x}, 2)')} / {_poly(S.QUANTILE['b'], f'pow({x}, 2)')} END"
+
+
+def _outer_sql(m: str, c: tuple) -> str:
+    return f"{m} / sqrt(mm) + " + " + ".join(f"({a!r}) * pow(n, {-(i + 1) / 2})" for i, a in enumerate(c))
+
+
+@query(
+    "shapiro_wilk",
+    f"""WITH {t.CTE["evals"]}, o AS (SELECT value AS x, row_number() OVER (ORDER BY value) AS i, count(*) OVER () AS n, avg(value) OVER () AS mean FROM evals WHERE value IS NOT NULL),
+    s AS (SELECT *, {_quantile_sql("((i - 0.375) / (n + 0.25))::DOUBLE")} AS m FROM o),
+    g AS (SELECT any_value(n)::DOUBLE AS n, sum(m * (x - mean)) AS mx, sum(m * m) AS mm, sum(pow(x - mean, 2)) AS xx, max(m) AS m1, max(m) FILTER (i = n - 1) AS m2, max(x) - min(x) AS w1, max(x) FILTER (i = n - 1) - max(x) FILTER (i = 2) AS w2 FROM s),
+    a AS (SELECT *, {_outer_sql("m1", S.OUTER)} AS a1, {_outer_sql("m2", S.NEXT)} AS a2 FROM g)
+    SELECT n::BIGINT AS n, round(pow((mx - m1 * w1 - m2 * w2) / sqrt((mm - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)) + a1 * w1 + a2 * w2, 2) / xx, 6) AS w FROM a""",
+)
+def shapiro_wilk(spark, d):
+    return S.shapiro_wilk(t.evals(spark, d), "value").select("n", F.round("w", 6).alias("w"))
+
+
 @query("effect_size", "SELECT round(d, 6) AS d, CASE WHEN abs(d) < 0.2 THEN 'negligible' WHEN abs(d) < 0.5 THEN 'small' WHEN abs(d) < 0.8 THEN 'medium' ELSE 'large' END AS size FROM (SELECT avg(value) / stddev_samp(value) AS d FROM evals)", "evals")
 def effect_size(spark, d):
     return S.effect_size(t.evals(spark, d), "value").withColumn("d", F.round("d", 6))

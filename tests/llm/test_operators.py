@@ -434,7 +434,8 @@ def test_lines_against_all_pairs(spark):
             if char_edits(a, lines[j]) <= 0.2 * max(len(a), len(lines[j])):
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
-    assert {i for i in range(len(lines)) if i not in removed(spark, lines)} == {i for i in range(len(lines)) if find(i) == i}
+    gone = removed(spark, lines)
+    assert {i for i in range(len(lines)) if i not in gone} == {i for i in range(len(lines)) if find(i) == i}
 
 
 def test_recall_of_similar_lines(spark):
@@ -455,6 +456,35 @@ def test_recall_of_similar_lines(spark):
     assert len(ok) > 380 and len(gone & set(ok)) >= 0.93 * len(ok) and len(gone - set(ok)) <= 3
 
 
+def test_recall_by_kind_of_edit(spark):
+    """Against brute force, for each kind: typos in every second to fifth word, joined words, replaced words."""
+    rng = random.Random(43)
+    letter = lambda: rng.choice("abcdefghijklmnopqrstuvwxyz")
+    word = lambda: "".join(letter() for _ in range(rng.randrange(3, 10)))
+
+    def typos(w, each):
+        return [x[:k] + letter() + x[k + 1 :] if i % each == 0 and (k := rng.randrange(len(x))) >= 0 else x for i, x in enumerate(w)]
+
+    def replaced(w, k):
+        at = set(rng.sample(range(len(w)), k))
+        return [word() if i in at else x for i, x in enumerate(w)]
+
+    joined = lambda w: "".join(x + ("" if i % 3 == 2 else " ") for i, x in enumerate(w)).split()
+    kinds = [(10, lambda w: typos(w, 3), 0.9), (20, lambda w: typos(w, 3), 0.9), (40, lambda w: typos(w, 3), 0.9), (40, lambda w: typos(w, 5), 0.95), (5, lambda w: replaced(w, 1), 0.85), (10, lambda w: replaced(w, 2), 0.85), (20, lambda w: replaced(w, 4), 0.85), (40, lambda w: replaced(w, 8), 0.9), (20, joined, 0.9), (10, lambda w: typos(w, 2), 0.75)]
+    lines, of = [], {}
+    for k, (n, change, _) in enumerate(kinds):
+        while sum(x == k for x in of.values()) < 60:
+            w = [word() for _ in range(n)]
+            a, b = " ".join(w), " ".join(change(w))
+            if char_edits(a, b) <= 0.2 * max(len(a), len(b)):
+                of[len(lines) + 1] = k
+                lines += [a, b]
+    gone = removed(spark, lines)
+    assert gone <= set(of)
+    for k, (_, _, least) in enumerate(kinds):
+        assert sum(i in gone for i, x in of.items() if x == k) >= least * 60, k
+
+
 def test_lines_by_edits_alone(spark):
     """One to eight words of 40 changed; unlike lines stay."""
     rng = random.Random(21)

@@ -56,6 +56,17 @@ def test_near_copies_go(spark):
     assert dict(pipeline.STAGES)["near_dedup"](spark, docs.limit(0), "").count() == 0
 
 
+def test_repeated_rows_do_not_gather_the_others(spark):
+    """One row that repeats, among many: one of it stays, no window takes the table, and no task gets all of it."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(40)), i) for i in range(400)]
+    rows += [rows[7]] * 30 + [(None, None, 1), (None, "no id", 1)]
+    out = dict(pipeline.STAGES)["near_dedup"](spark, spark.createDataFrame(rows, "doc_id long, text string, key int").repartition(8), "")
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert max(r["count"] for r in out.groupBy(__import__("pyspark.sql.functions", fromlist=["x"]).spark_partition_id()).count().collect()) < 200
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in out.collect()) == [-1, -1, *range(400)]
+
+
 def test_every_stage_on_edge_cases(spark, tmp_path):
     """Null, empty, very long, tied and repeated rows, clashing columns, then an empty table."""
     long = " ".join(f"w{i % 977}" for i in range(30_000))

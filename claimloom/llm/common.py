@@ -46,6 +46,7 @@ class Spool:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.at, self.n = spark, new_path(spark, name), 0
+        self.passing: list[DataFrame] = []  # tables that what is computed next is read from, and nothing after it
         Spool.open_.append(self)
 
     def cut(self, df: DataFrame) -> DataFrame:
@@ -58,6 +59,11 @@ class Spool:
     def drop(self, df: DataFrame) -> None:
         self._remove(df._spooled)
 
+    def let_go(self) -> None:
+        for df in self.passing:
+            self.drop(df)
+        self.passing = []
+
     def tidy(self) -> None:
         """Shuffle files go when nothing refers to them any more, which the driver finds out as it
         collects garbage; after a large step this asks for it, rather than wait for the disk to fill."""

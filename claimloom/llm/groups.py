@@ -32,13 +32,22 @@ def linked(sent: DataFrame, alike: Callable[[Column, Column, Column, Column], Co
     met = spool.cut(met.where("id2 is not null or next is not null"))
     del sent
     spool.tidy()
-    found = [spool.cut(verify(_pairs(met.where(F.col("id2") != F.col("id")), alike)))]
+    passing: list[DataFrame] = []  # tables on the way, which go at the end
+
+    def checked(rows: DataFrame) -> DataFrame:
+        out = spool.cut(verify(rows))
+        spool.let_go()
+        spool.tidy()
+        return out
+
+    found = [checked(_pairs(met.where(F.col("id2") != F.col("id")), alike))]
     roots = _roots(found)
     now = met.join(roots, "id", "left").select("key", "o", "z", "id", F.coalesce("root", "id").alias("root"))
     waiting = []
     for level in range(levels + 1):
         seen = now.withColumns({"n": F.count("*").over(whole), "lo": F.min("root").over(whole), "hi": F.max("root").over(whole)} | {f"{c}2": F.lag(c).over(order) for c in ("o", "z", "id", "root")})
         apart = spool.cut(seen.where("lo <> hi and n > 2" if not level else "lo <> hi").drop("lo", "hi"))  # of two, the one pair has been compared
+        passing.append(apart)
         spool.tidy()
         if level:
             waiting.append(_pairs(apart.where("n > 2 and root <> root2"), alike))
@@ -49,14 +58,16 @@ def linked(sent: DataFrame, alike: Callable[[Column, Column, Column, Column], Co
         if level < levels:
             now = more(crowds, level)
             continue
-        found.append(spool.cut(verify(_union(waiting).distinct())))
+        found.append(checked(_union(waiting).distinct()))
         roots = _roots(found)
         now = crowds.drop("root").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
         waiting = [_all_pairs(now, alike)]
-    found.append(spool.cut(verify(_union(waiting).distinct())))
-    spool.drop(met)
+    found.append(checked(_union(waiting).distinct()))
+    out = _roots(found)
+    for old in (met, *passing):
+        spool.drop(old)
     spool.tidy()
-    return _roots(found)
+    return out
 
 
 def _pairs(rows: DataFrame, alike: Callable[..., Column]) -> DataFrame:
@@ -88,10 +99,12 @@ def sent_if_few(ids: DataFrame) -> DataFrame:
 
 def with_texts(links: DataFrame, rows: DataFrame, spool: Spool, more: dict[str, Column] | None = None) -> DataFrame:
     """links (a, b), rows (id, s), repeated or not -> (a, b, a_s, b_s), and likewise what `more` makes
-    of each s. The texts of linked ids alone are moved."""
+    of each s. The texts of linked ids alone are moved. spool.let_go() removes the tables this is
+    read from, once it has been used."""
     links = spool.cut(links)
     ids = spool.cut(links.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     texts = spool.cut(rows.select("id", "s").join(sent_if_few(ids), "id", "left_semi").groupBy("id").agg(F.first("s").alias("s")).withColumns(more or {}))
     names = ["s", *(more or {})]
+    spool.passing += [links, ids, texts]
     left, right = (texts.select(F.col("id").alias(c), *[F.col(n).alias(f"{c}_{n}") for n in names]) for c in ("a", "b"))
     return links.join(left, "a").join(right, "b").select("a", "b", *[f"{c}_{n}" for n in names for c in ("a", "b")])

@@ -14,6 +14,8 @@ from .components import components
 SENT_IDS = 1_000_000
 #: Members of a bucket that are compared pair by pair; a larger one whose members are still apart is split by further keys.
 CROWD = 24
+#: Parts in which pairs are verified at most, and pairs of a part if fewer parts do.
+PARTS, PART = 8, 50_000
 
 
 def linked(sent: DataFrame, alike: Callable[[Column, Column, Column, Column], Column], more: Callable[[DataFrame, int], DataFrame], verify: Callable[[DataFrame], DataFrame], spool: Spool, levels: int) -> DataFrame:
@@ -35,10 +37,16 @@ def linked(sent: DataFrame, alike: Callable[[Column, Column, Column, Column], Co
     passing: list[DataFrame] = []  # tables on the way, which go at the end
 
     def checked(rows: DataFrame) -> DataFrame:
-        out = spool.cut(verify(rows))
-        spool.let_go()
-        spool.tidy()
-        return out
+        # texts are moved for a part of the pairs at a time, and their files go before the next
+        rows = spool.cut(rows)
+        parts = min(PARTS, -(-rows.count() // PART)) or 1
+        out = []
+        for part in range(parts):
+            out.append(spool.cut(verify(rows.where(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == part))))
+            spool.let_go()
+            spool.tidy()
+        spool.drop(rows)
+        return _union(out)
 
     found = [checked(_pairs(met.where(F.col("id2") != F.col("id")), alike))]
     roots = _roots(found)

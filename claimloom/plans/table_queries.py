@@ -576,18 +576,18 @@ def group_split(spark, d):
 
 
 def _nested(spark, d):
-    v = t.violations(spark, d).where("confidence > 0.96").groupBy("run_id").agg(F.collect_list(F.struct(F.col("claim").alias("claim_text"), "severity", F.col("rule").alias("rule_violated"))).alias("violations"))
+    v = t.violations(spark, d).groupBy("run_id").agg(F.collect_list(F.struct(F.col("claim").alias("claim_text"), "severity", F.col("rule").alias("rule_violated"))).alias("violations"))
     compliant = F.when(F.col("status") == "running", None).otherwise(F.col("violations").isNull())
     return t.runs(spark, d).select("run_id", "status").join(v, "run_id", "left").withColumn("compliant", compliant)
 
 
-@query("compliance_flatten", "SELECT r.run_id, CASE WHEN status <> 'running' THEN v.pos IS NULL END AS compliant, coalesce(claim, '') AS claim_text, coalesce(severity, 'NONE') AS severity, coalesce(rule, '') AS rule_violated FROM runs r LEFT JOIN (SELECT * FROM violations WHERE confidence > 0.96) v USING (run_id)", "runs", "violations")
+@query("compliance_flatten", "SELECT r.run_id, CASE WHEN status <> 'running' THEN v.pos IS NULL END AS compliant, coalesce(claim, '') AS claim_text, coalesce(severity, 'NONE') AS severity, coalesce(rule, '') AS rule_violated FROM runs r LEFT JOIN violations v USING (run_id)", "runs", "violations")
 def compliance_flatten(spark, d):
     x = _nested(spark, d).select("run_id", "compliant", F.explode_outer("violations").alias("v"))
     return x.select("run_id", "compliant", F.coalesce("v.claim_text", F.lit("")).alias("claim_text"), F.coalesce("v.severity", F.lit("NONE")).alias("severity"), F.coalesce("v.rule_violated", F.lit("")).alias("rule_violated"))
 
 
-@query("compliance_summary", "SELECT count(*) FILTER (c) AS compliant, count(*) FILTER (NOT c) AS non_compliant, count(*) FILTER (c IS NULL) AS errors, CAST(sum(n) AS BIGINT) AS violations, round(avg(n), 4) AS mean_violations FROM (SELECT r.run_id, CASE WHEN any_value(status) <> 'running' THEN count(v.pos) = 0 END AS c, count(v.pos) AS n FROM runs r LEFT JOIN (SELECT * FROM violations WHERE confidence > 0.96) v USING (run_id) GROUP BY 1)", "runs", "violations")
+@query("compliance_summary", "SELECT count(*) FILTER (c) AS compliant, count(*) FILTER (NOT c) AS non_compliant, count(*) FILTER (c IS NULL) AS errors, CAST(sum(n) AS BIGINT) AS violations, round(avg(n), 4) AS mean_violations FROM (SELECT r.run_id, CASE WHEN any_value(status) <> 'running' THEN count(v.pos) = 0 END AS c, count(v.pos) AS n FROM runs r LEFT JOIN violations v USING (run_id) GROUP BY 1)", "runs", "violations")
 def compliance_summary(spark, d):
     n = F.coalesce(F.size("violations"), F.lit(0))
     x = _nested(spark, d).select("compliant", F.greatest(n, F.lit(0)).alias("n"))

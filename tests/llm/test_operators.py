@@ -672,6 +672,49 @@ def test_lm(spark):
     assert lm.score_texts(documents(spark, [])).count() == 0
 
 
+def test_lm_scores_do_not_follow_partitions(spark, monkeypatch):
+    """Shards are dealt by hash: one file or many, the rows in another order, and repeated rows in one
+    partition or apart give the same parameters and scores."""
+    monkeypatch.setattr(lm, "TRAIN_EVERY", 1)
+    rng = random.Random(35)
+    texts = [(i, words(rng, 80)) for i in range(120)] + [(7, "the same row " * 30)] * 9 + EDGE
+    rng.shuffle(texts)
+    docs = documents(spark, texts)
+    key = lambda r: (str(r.doc_id), r.n_tokens, r.score)
+    one = sorted(lm.score_texts(docs.coalesce(1), start_docs=20).collect(), key=key)
+    many = sorted(lm.score_texts(docs.repartition(7), start_docs=20).collect(), key=key)
+    assert len(one) == len(texts)
+    for a, b in zip(one, many, strict=True):
+        assert a.doc_id == b.doc_id and abs(a.score - b.score) <= 1e-5 * abs(a.score)
+
+
+def test_lm_shards_train_on_all_blocks(spark):
+    """Every block is trained on once, in a shard of bounded size, whatever the partitions; a block that
+    occurs n times weighs as n."""
+    np = __import__("numpy")
+    texts = [words(random.Random(k), 60).encode().split() for k in range(150)]
+    sub = lm.Subwords(lm.read_vocabulary(lm.VOCABULARY), {})
+    _, sizes, pieces = sub.read(texts)
+    m = lm.start_model(pieces, lm._subword_counts(sizes, texts), sub.opens, steps=5)
+    inp, tgt, prev = m.blocks(pieces, lm._subword_counts(sizes, texts))
+    rows = [(k, np.concatenate([inp[k], inp[prev[k]], tgt[k]]).astype("<i2").tobytes(), 1) for k in range(len(prev))]
+    blocks = spark.createDataFrame(rows, "mix long, block binary, n long")
+    out = [lm.train_shards(blocks.repartition(p), m.state(), per_shard=200).groupBy("k").agg({"v": "sum"}).collect() for p in (1, 5)]
+    a, b = ({r[0]: r[1] for r in x} for x in out)
+    shards = -(-len(rows) // 200)
+    assert len(rows) / lm.BATCH <= a[-1] <= len(rows) / lm.BATCH + shards and a[-1] == b[-1]
+    assert max(abs(a[k] - b[k]) for k in a) < 1e-6 * a[-1]
+    before = m.state()["p"]["e"].ravel()
+    trained = lm.Model(**{**m.state(), "p": {k: v.copy() for k, v in m.p.items()}})
+    lm.finish(trained, a)
+    assert len(before) and any((trained.p[k] != m.p[k]).any() for k in m.p)
+    once, thrice = (lm.Model(**{**m.state(), "p": {k: v.copy() for k, v in m.p.items()}}) for _ in range(2))
+    some = np.array([0, 1, 1, 1])
+    lm.Trainer(once).step(inp[some], inp[prev[some]], tgt[some], 0.01)
+    lm.Trainer(thrice).step(inp[:2], inp[prev[:2]], tgt[:2], 0.01, np.array([1, 3], np.float32))
+    assert all(np.allclose(once.p[k], thrice.p[k], atol=1e-4) for k in m.p)
+
+
 def test_lm_passages_against_brute_force(spark, monkeypatch):
     """What a passage gains: the difference to a run in which no context is looked up."""
     rng = random.Random(25)

@@ -331,14 +331,18 @@ def effect_size(rows: DataFrame, value: str) -> DataFrame:
 
 
 def anova_twoway(rows: DataFrame, a: str, b: str, value: str) -> DataFrame:
-    """Type II tests of two factors and their interaction, by least squares on the cells' sums."""
+    """Type II tests of two factors and their interaction, by least squares on the cells' sums. Rows with a
+    null value or level are left out; a test without degrees of freedom or residuals has a null statistic."""
     import numpy as np
 
-    cells = rows.where(f"{value} is not null").groupBy(a, b).agg(F.count("*").alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q")).orderBy(a, b).collect()  # levels x levels
+    cells = rows.where(F.col(value).isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q")).orderBy(a, b).collect()  # levels x levels
     la, lb = sorted({r[a] for r in cells}), sorted({r[b] for r in cells})
     n, s = np.array([r.n for r in cells], float), np.array([r.s for r in cells], float)
     total = float(sum(r.q for r in cells))
 
+    if not cells:
+        return rows.sparkSession.createDataFrame([(f"anova_twoway {x}", None, None, None, None, stars(None)) for x in (a, b, f"{a}:{b}")], SCHEMA)
+
     def rss(use_a: bool, use_b: bool, use_ab: bool) -> tuple[float, int]:
         cols = [np.ones(len(cells))]
         cols += [np.array([float(r[a] == x) for r in cells]) for x in la[1:]] if use_a else []
@@ -360,8 +364,8 @@ def anova_twoway(rows: DataFrame, a: str, b: str, value: str) -> DataFrame:
 
 
 def tukey(rows: DataFrame, factor: str, value: str) -> DataFrame:
-    """Pairwise comparisons of the means of all levels."""
-    g = rows.where(f"{value} is not null").groupBy(factor).agg(F.count("*").alias("n"), F.avg(value).alias("m"), F.coalesce(F.var_samp(value), F.lit(0.0)).alias("v")).orderBy(factor).collect()  # a row a level
+    """Pairwise comparisons of the means of all levels, unequal sizes by Kramer's rule. Rows with a null value or level are left out."""
+    g = rows.where(F.col(value).isNotNull() & F.col(factor).isNotNull()).groupBy(factor).agg(F.count("*").alias("n"), F.avg(value).alias("m"), F.coalesce(F.var_samp(value), F.lit(0.0)).alias("v")).orderBy(factor).collect()  # a row a level
     df = sum(r.n for r in g) - len(g)
     mse = sum((r.n - 1) * r.v for r in g) / df if df > 0 else float("nan")
     out = []
@@ -374,15 +378,16 @@ def tukey(rows: DataFrame, factor: str, value: str) -> DataFrame:
 
 
 def report(rows: DataFrame, value: str, factors: Sequence[str]) -> DataFrame:
-    """The usual tests of a value, one row each, with p-values and significance."""
+    """The usual tests of a value, one row each, with p-values and significance; null where a test is undefined."""
+    tail = lambda x, df: chi2_tail(x, df) if x is not None and df else None
     spark, out = rows.sparkSession, None
     o = one_sample(rows, value).first()
     parts = [_row(spark, "one_sample_t", o.t, o.n - 1, None, None if o.t is None else t_tail(o.t, o.n - 1))]
     for f in factors:
         a, k, c = anova(rows, f, value).first(), kruskal(rows, f, value).first(), chi2_table(rows.withColumn("_hit", F.col(value) > 0), f, "_hit").first()
         parts.append(_row(spark, f"anova {f}", a.f, a.k - 1, a.n - a.k, None if a.f is None else f_tail(a.f, a.k - 1, a.n - a.k)))
-        parts.append(_row(spark, f"kruskal {f}", k.h, k.k - 1, None, chi2_tail(k.h, k.k - 1)))
-        parts.append(_row(spark, f"chi2 {f}", c.chi2, c.df, None, chi2_tail(c.chi2, c.df) if c.df else None))
+        parts.append(_row(spark, f"kruskal {f}", k.h, k.k - 1, None, tail(k.h, k.k - 1)))
+        parts.append(_row(spark, f"chi2 {f}", c.chi2, c.df, None, tail(c.chi2, c.df)))
     for p in parts:
         out = p if out is None else out.unionByName(p)
     return out

@@ -570,7 +570,12 @@ def nli_dataset_export(spark, d):
     return claims.where("category <> 'PROMO'").join(rules.groupBy("product_id").agg(F.min("rule_text").alias("premise")), "product_id").select("claim_id", "product_id", "premise", "claim", F.lit("").alias("label"))
 
 
-@query("group_split")
+def _uniform_sql(key: str, seed: int = 42) -> str:
+    """operators.design.uniform"""
+    return f"(CAST('0x' || substring(md5(concat_ws(':', CAST({key} AS VARCHAR), '{seed}')), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE)"
+
+
+@query("group_split", f"SELECT CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.85 THEN 'validation' ELSE 'test' END AS split, count(*) AS n, count(DISTINCT owner) AS groups FROM (SELECT owner, {_uniform_sql('owner')} AS u FROM runs) GROUP BY 1", "runs")
 def group_split(spark, d):
     return U.group_split(t.runs(spark, d), "owner").groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("owner").alias("groups"))
 
@@ -765,7 +770,12 @@ def matrix_cartesian(spark, d):
     return _conditions(spark, d)
 
 
-@query("matrix_replicated")
+@query(
+    "matrix_replicated",
+    f"""SELECT *, CAST(dayofweek(date) IN (0, 6) AS BOOLEAN) AS is_weekend FROM (SELECT *, DATE '2026-01-05' + day AS date, CASE slot WHEN 'morning' THEN 8 WHEN 'afternoon' THEN 12 ELSE 17 END + CAST(floor({_uniform_sql("run_id", 44)} * 4) AS INTEGER) AS hour,
+    CAST(floor({_uniform_sql("run_id", 45)} * 60) AS INTEGER) AS minute FROM (SELECT *, CAST(floor({_uniform_sql("run_id", 42)} * 7) AS INTEGER) AS day, ['morning', 'afternoon', 'evening'][CAST(floor({_uniform_sql("run_id", 43)} * 3) AS INTEGER) + 1] AS slot
+    FROM (SELECT *, sha1(concat_ws('|', engine, product_id, status, CAST(repetition_id AS VARCHAR))) AS run_id FROM (SELECT DISTINCT engine FROM runs), (SELECT DISTINCT product_id FROM runs), (SELECT DISTINCT status FROM runs), (VALUES (1), (2), (3)) r(repetition_id))))""", "runs",
+)
 def matrix_replicated(spark, d):
     return D.replicated(_conditions(spark, d), 3, "2026-01-05", 7)
 
@@ -785,15 +795,27 @@ def matrix_shuffle(spark, d):
     return D.shuffled(t.runs(spark, d).drop("run_order")).select("run_id", F.col("run_order").cast("long").alias("run_order"))
 
 
-@query("matrix_schedule")
+@query("matrix_schedule", f"SELECT run_id, make_timestamp(epoch_us(TIMESTAMP '2026-01-05 08:00:00') + CAST(floor({_uniform_sql('run_id')} * 72.0::DOUBLE * 3600000000) AS BIGINT)) AS scheduled FROM runs", "runs")
 def matrix_schedule(spark, d):
     return D.scheduled(t.runs(spark, d).select("run_id"), "2026-01-05 08:00:00", 72.0)
 
 
-@query("matrix_stratified")
+def _dealt_sql(rows: str, within: str, column: str, levels: list[str]) -> str:
+    """operators.design.balanced"""
+    at = f"row_number() OVER (PARTITION BY {within} ORDER BY md5(run_id || ':42'), run_id) - 1 + CAST(floor({_uniform_sql(within)} * {len(levels)}) AS BIGINT)"
+    return f"(SELECT *, {levels}[CAST(({at}) % {len(levels)} AS BIGINT) + 1] AS {column} FROM {rows})"
+
+
+SLOTS = ["morning", "afternoon", "evening"]
+STRATIFIED = """(SELECT *, sha1(condition || '#' || CAST(repetition_id AS VARCHAR)) AS run_id FROM (SELECT engine, product_id, status, condition, unnest(range(1, quota + 1)) AS repetition_id FROM
+    (SELECT *, (SELECT count(*) FROM runs) // count(*) OVER () + CAST(row_number() OVER (ORDER BY md5(condition || ':42'), condition) <= (SELECT count(*) FROM runs) % count(*) OVER () AS BIGINT) AS quota
+    FROM (SELECT *, concat_ws('|', engine, product_id, status) AS condition FROM (SELECT DISTINCT engine FROM runs), (SELECT DISTINCT product_id FROM runs), (SELECT DISTINCT status FROM runs)))))"""
+
+
+@query("matrix_stratified", f"SELECT * FROM {_dealt_sql(_dealt_sql(STRATIFIED, 'condition', 'day', list(A.DAYS)), 'day', 'slot', SLOTS)}", "runs")
 def matrix_stratified(spark, d):
     total = t.runs(spark, d).count()
-    return D.stratified_matrix(_conditions(spark, d), total, list(A.DAYS), ["morning", "afternoon", "evening"])
+    return D.stratified_matrix(_conditions(spark, d), total, list(A.DAYS), SLOTS)
 
 
 @query(

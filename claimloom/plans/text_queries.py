@@ -356,7 +356,14 @@ def numeric_last_spec(spark, d):
     return R.last_spec_errors(_numbers(spark, d), _specs(spark, d)).select("run_id", "ord", "value", "unit", "expected", F.round("error_pct", 4).alias("error_pct"))
 
 
-@query("missing_units")
+NUMBER_AND_NEXT = r"\b(\d+)(\.\d+)?\b([\s\x0B]*[a-zA-Z%])?"  # a whole part remains of a fraction before a unit
+
+
+@query(
+    "missing_units",
+    f"""SELECT run_id, CAST(len(l) AS INTEGER) AS n, l[1:3] AS examples FROM (SELECT run_id, list_filter(list_transform(regexp_extract_all(text, '{NUMBER_AND_NEXT}'), lambda x: CASE WHEN NOT regexp_matches(x, '[a-zA-Z%]$') THEN x
+    WHEN contains(x, '.') THEN regexp_extract(x, '^[0-9]+') END), lambda x: x IS NOT NULL) AS l FROM docs)""", "docs",
+)
 def missing_units(spark, d):
     n = T.bare_numbers(F.col("text"))
     return t.docs(spark, d).select("run_id", F.size(n).alias("n"), F.slice(n, 1, 3).alias("examples"))

@@ -10,6 +10,8 @@ a window that says enough are looked for as they stand.
 from __future__ import annotations
 
 from collections.abc import Collection, Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,13 @@ UNITS = frozenset(
     "second seconds minute minutes hour hours day days week weeks month months year years percent degrees dollar dollars cent cents euro euros yen rupees "
     "mph kmh watt watts volt volts gb mb kb byte bytes".split()
 )
+_ONES = "one two three four five six seven eight nine".split()
+_TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+#: Words that are numbers. One that follows a number is part of it ("two hundred", "3 million").
+NUMBERS = frozenset(
+    ["zero", *_ONES, *_TENS, *(f"{t}-{o}" for t in _TENS for o in _ONES)]
+    + "ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen hundred thousand million billion".split()
+)
 #: What a word is. A capital may open a sentence; a known name is one wherever it stands and however it is written.
 _LITERAL, _NUM, _UNIT, _KNOWN, _CAP, _SKIP = range(6)
 _TAG = ["", "<num>", "<unit>", "<name>", "<name>"]
@@ -83,7 +92,7 @@ class Templates:
 
     def __init__(self, names: Collection[str] = (), at_once: int = 1 << 20):
         self.powers, self.at_once = Powers(), at_once
-        self.units, self.names = (_Set(np.array([self._hash(x.encode()) for x in s], np.uint64)) for s in (UNITS, names))
+        self.numbers, self.units, self.names = (_Set(np.array([self._hash(x.encode()) for x in s], np.uint64)) for s in (NUMBERS, UNITS, names))
         self.tags = np.array([self._hash(t.encode() + b"\x00") for t in _TAG], np.uint64)
 
     def _hash(self, word: bytes) -> int:
@@ -140,7 +149,7 @@ class Templates:
             first[0] |= line[start[0]] > 0
             first[1:] = closes[:-1] | (line[start[1:]] > line[end[:-1]])
         opens = bool(closes[-1] or line[-1] > line[end[-1]]) if len(start) else bool(opens or line[-1])
-        for kinds, known in ((_UNIT, self.units), (_KNOWN, self.names)):
+        for kinds, known in ((_NUM, self.numbers), (_UNIT, self.units), (_KNOWN, self.names)):
             at = known(h)
             at = at[(kind[at] == _LITERAL) | (kind[at] == _CAP)]
             kind[at] = kinds
@@ -171,42 +180,75 @@ class Templates:
         at = np.arange(max(0, len(h) - size + 1))
         return self.powers.spans(h, at, at + size) if len(at) else np.zeros(0, np.uint64)
 
-    def found(self, texts: list[bytes], size: int, filled: np.ndarray | None, whole: dict[int, np.ndarray] | None = None) -> Iterator[tuple[int, int, int, str, list[str], int]]:
-        """(text, place, hash, template, slots, tokens of the text) of windows, where the filter lets
-        them through; then of the windows as they stand, by their sizes, with place -1."""
-        buf, (_, _, c0, c1, kinds, raw), owner = self.read(texts)
+    def found(self, texts: list[bytes], sizes: Collection[int] | None, filled: np.ndarray | None, whole: dict[int, np.ndarray] | None = None) -> Iterator[tuple]:
+        """(text, place, place when joined, hash, template, slots, tokens of the text) of windows of the
+        sizes (None: of one text, WINDOW or all its tokens), where the filter lets them through; then of
+        the windows as they stand, by their sizes, with place -1.
+
+        A text is read twice: word by word, and with names or numbers of several words joined to one
+        token each. A window has a place in the readings it belongs to; a text with nothing to join has
+        the first only. Joined places count with capitals that open sentences as words."""
+        buf, (start, end, c0, c1, kinds, raw), owner = self.read(texts)
         use = np.flatnonzero(kinds != _SKIP)
         kind, h, text = kinds[use], raw[use], owner[use]
-        counts = np.bincount(text, minlength=len(texts))
-        starts = np.cumsum(counts) - counts
+        b = np.frombuffer(buf, np.uint8)
+        line = np.concatenate([[0], np.cumsum(b == 10, dtype=np.int32)])
         word = lambda i: buf[c0[i] : c1[i]].decode("utf-8", "replace")
-        opening = kind == _CAP  # as a literal, then as a name
-        for as_name in (False, True) if opening.any() else (False,):
+        opening, spelled = kind == _CAP, (kind == _NUM) & ~_DIGIT[b[c0[use]]]
+        # words with nothing but spaces between them may be one name or number
+        i, j = use[:-1], use[1:]
+        glued = np.append(False, (j - i == 1) & (owner[i] == owner[j]) & (end[i] == c1[i]) & (start[j] == c0[j]) & (line[start[j]] == line[end[i]])) if len(use) else np.zeros(0, bool)
+
+        def inner(k: np.ndarray) -> np.ndarray:
+            before = np.append(_SKIP, k[:-1]) if len(k) else k
+            return glued & ((k == _KNOWN) & (before == _KNOWN) | spelled & (before == _NUM))
+
+        sums = lambda m: np.concatenate([[0], np.cumsum(m, dtype=np.int32)])
+        begins = np.searchsorted(text, text)
+        single, widest = np.arange(len(use)) - begins, inner(np.where(opening, _KNOWN, kind))
+        joined = np.cumsum(~inner(np.where(opening, _LITERAL, kind))) - 1
+        joined -= joined[begins] if len(use) else 0
+        two = np.bincount(text, widest, len(texts)) > 0  # texts with something to join
+        o = sums(opening)
+        for as_name in (False, True) if opening.any() else (False,):  # an opening capital as a literal, then as a name
             k = np.where(opening, _KNOWN if as_name else _LITERAL, kind)
-            x = self.windows(np.where(k == _LITERAL, h, self.tags[k]), size)
-            if not len(x):
-                continue
-            c = np.concatenate([[0], np.cumsum(k == _LITERAL, dtype=np.int32)])
-            ok = (c[size:] - c[:-size] >= (LITERALS if size == WINDOW else max(1, size - 2))) & (text[: len(x)] == text[size - 1 :])
-            if as_name:
-                o = np.concatenate([[0], np.cumsum(opening, dtype=np.int32)])
-                ok &= o[size:] > o[:-size]
-            at = np.flatnonzero(ok)
-            if filled is not None:
-                at = at[bloom.hits(filled, x[at])]
-            for p, v, t in zip(at.tolist(), x[at].view(np.int64).tolist(), text[at].tolist(), strict=True):
-                w, tags = [word(i) for i in use[p : p + size].tolist()], k[p : p + size].tolist()
-                yield t, p - int(starts[t]), v, " ".join(_TAG[g] or s for s, g in zip(w, tags, strict=True)), [s for s, g in zip(w, tags, strict=True) if g], int(counts[t])
+            within = inner(k)
+            n = sums(within)
+            for join in (False, True) if within.any() else (False,):
+                head = np.flatnonzero(~within) if join else np.arange(len(k))
+                after, k_, text_ = np.append(head[1:], len(k)), k[head], text[head]
+                counts = np.bincount(text_, minlength=len(texts))
+                values = np.where(k_ == _LITERAL, h[head], self.tags[k_])
+                c = sums(k_ == _LITERAL)
+                for size in (min(WINDOW, len(head)),) if sizes is None else sizes:
+                    x = self.windows(values, size) if size else values[:0]
+                    if not len(x):
+                        continue
+                    ok = (c[size:] - c[:-size] >= (LITERALS if size == WINDOW else max(1, size - 2))) & (text_[: len(x)] == text_[size - 1 :])
+                    first, last = head[: len(x)], after[size - 1 :]
+                    if as_name:
+                        ok &= o[last] > o[first]
+                    if join:
+                        ok &= n[last] > n[first]
+                    at = np.flatnonzero(ok)
+                    if filled is not None:
+                        at = at[bloom.hits(filled, x[at])]
+                    for p, v in zip(at.tolist(), x[at].view(np.int64).tolist(), strict=True):
+                        f, e, t = int(first[p]), int(last[p]), int(text_[p])
+                        w = [" ".join(word(i) for i in use[head[q] : after[q]].tolist()) for q in range(p, p + size)]
+                        tags = k_[p : p + size].tolist()
+                        whole_tokens = join or n[min(e + 1, len(k))] == n[f]
+                        yield t, None if join else int(single[f]), int(joined[f]) if two[t] and whole_tokens else None, v, " ".join(_TAG[g] or s for s, g in zip(w, tags, strict=True)), [s for s, g in zip(w, tags, strict=True) if g], int(counts[t])
         for n, keys in (whole or {}).items():
             x = self.windows(raw, n)
             at = np.flatnonzero(owner[: len(x)] == owner[n - 1 :]) if len(x) else np.zeros(0, np.int64)
             at = at[bloom.hits(keys, x[at])]
             for p, v, t in zip(at.tolist(), x[at].view(np.int64).tolist(), owner[at].tolist(), strict=True):
-                yield t, -1, v, " ".join(word(i) for i in range(p, p + n)), [], n
+                yield t, -1, None, v, " ".join(word(i) for i in range(p, p + n)), [], n
 
 
-_ROWS = "{} long, pos int, h long, template string, slots array<string>, n_tokens int"
-_TYPES = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.int32())
+_ROWS = "{} long, pos int, joined int, h long, template string, slots array<string>, n_tokens int"
+_TYPES = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.int32())
 
 
 def _texts(df: DataFrame, key: str) -> DataFrame:
@@ -215,7 +257,7 @@ def _texts(df: DataFrame, key: str) -> DataFrame:
 
 def _batch(rows: list[tuple], key: str) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) if rows else [[] for _ in _TYPES]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], [key, "pos", "h", "template", "slots", "n_tokens"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], [key, "pos", "joined", "h", "template", "slots", "n_tokens"])
 
 
 def item_rows(benchmark: DataFrame, names: Collection[str]) -> DataFrame:
@@ -227,12 +269,11 @@ def item_rows(benchmark: DataFrame, names: Collection[str]) -> DataFrame:
             rows = []
             for who, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 raw = text.as_buffer().to_pybytes()
-                kinds = read.read([raw])[1][4]
-                n = int((kinds != _SKIP).sum())
-                got = [(who, *r[1:]) for r in read.found([raw], min(WINDOW, n), None)] if n else []
-                if not got and len(kinds):
+                got = [(who, *r[1:]) for r in read.found([raw], None, None)]
+                n = 0 if got else len(read.read([raw])[1][4])
+                if n:
                     every = np.full((64, 8), -1, np.int64).view(np.uint64)
-                    got = [(who, *r[1:]) for r in read.found([raw], WINDOW, np.zeros((64, 8), np.uint64), {len(kinds): every})]
+                    got = [(who, *r[1:]) for r in read.found([raw], (), None, {n: every})]
                 rows += got
             yield _batch(rows, "item_id")
 
@@ -272,7 +313,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5) -> DataF
 
     A word that items write with a capital inside sentences, and never without, is a name however a
     document writes it; other capitals are names inside sentences, and either at their beginning.
-    Items of fewer words than a window are one window. An item with no window of enough literal
+    Texts are read word by word, and once more with names in a row as one name and number words as one
+    number with the number before them, so that a name or number may stand for one of more or fewer
+    words. An alignment keeps to one reading of the document and one of the item.
+    Items of fewer tokens than a window are one window. An item with no window of enough literal
     words (sums, lists of names) leaks where all its words, marks and numbers stand in a row as they
     are, but for case and punctuation at words' ends. Null and empty texts have no windows; rows
     that repeat an id count as one text, as do null ids; texts of any length are read whole; empty
@@ -282,8 +326,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5) -> DataF
     named = name_rows(benchmark).groupBy("word").agg(F.bool_and("capital").alias("c"), F.count("*").alias("n")).where("c")
     names = [r.word for r in named.orderBy(F.desc("n"), "word").limit(MOST_NAMES).select("word").collect()]
     items = spool.cut(item_rows(benchmark, names))
-    filled = bloom.build(items.where("pos >= 0").select("h").distinct(), "h")
-    sizes = sorted(r[0] for r in items.where("pos >= 0").select(F.least("n_tokens", F.lit(WINDOW))).distinct().collect())  # at most WINDOW
+    filled = bloom.build(items.where("coalesce(pos, joined) >= 0").select("h").distinct(), "h")
+    sizes = sorted(r[0] for r in items.where("coalesce(pos, joined) >= 0").select(F.least("n_tokens", F.lit(WINDOW))).distinct().collect())  # at most WINDOW
     whole = {r[0]: None for r in items.where("pos < 0").select("n_tokens").distinct().collect()}  # sizes of items without literals
     keys = bloom.build(items.where("pos < 0").select("h").distinct(), "h")
 
@@ -296,27 +340,33 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5) -> DataF
                 while at < len(b) and size < 1 << 16:
                     texts.append(raw[at].as_buffer().to_pybytes())
                     size, at = size + len(texts[-1]), at + 1
-                for k, n in enumerate(sizes or [WINDOW]):
-                    rows += [(ids[first + r[0]], *r[1:]) for r in read.found(texts, n, filled, dict.fromkeys(whole, keys) if not k else None)]
+                rows += [(ids[first + r[0]], *r[1:]) for r in read.found(texts, sizes, filled, dict.fromkeys(whole, keys))]
             yield _batch(rows, "doc_id")
 
     found = spool.cut(_texts(docs, "doc_id").mapInArrow(run, _ROWS.format("doc_id")).drop("n_tokens"))
-    count = items.groupBy("item_id").agg(F.count_distinct("pos").alias("n_windows")).withColumnRenamed("item_id", "i")
-    i = items.join(count, F.col("item_id").eqNullSafe(F.col("i"))).select("item_id", F.col("pos").alias("item_pos"), "n_windows", "h", "template", F.col("slots").alias("item_slots")).distinct()
+    # each reading of a text by itself: (reading, place)
+    readings = F.expr("filter(array(struct(0 as reading, pos), struct(1 as reading, joined as pos)), x -> x.pos is not null)")
+    read_ = lambda t: t.withColumn("r", F.explode(readings)).drop("pos", "joined")
+    i = read_(items).select("item_id", F.col("r.reading").alias("item_reading"), F.col("r.pos").alias("item_pos"), "h", "template", F.col("slots").alias("item_slots")).distinct()
+    count = i.groupBy(F.col("item_id").alias("i"), F.col("item_reading").alias("ir")).agg(F.count_distinct("item_pos").alias("n_windows"))
+    i = i.join(count, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_reading") == F.col("ir"))).drop("i", "ir")
+    found = read_(found).select("doc_id", F.col("r.reading").alias("reading"), F.col("r.pos").alias("pos"), "h", "template", "slots")
     shift = F.col("pos") - F.col("item_pos")
     place = lambda kind, at: F.struct(F.lit(kind).alias("kind"), at.cast("long").alias("at"))
     aligned = F.array(place("same", shift), place("near", F.floor(shift / DRIFT)), place("next", F.floor((shift + DRIFT // 2) / DRIFT)))
-    met = found.join(i, ["h", "template"]).withColumn("align", F.explode(aligned)).select("doc_id", "item_id", "align.kind", "align.at", "item_pos", "n_windows", "item_slots", "slots")
-    key = ["doc_id", "item_id", "kind", "at"]
+    met = found.join(i, ["h", "template"]).withColumn("align", F.explode(aligned)).select("doc_id", "item_id", "reading", "item_reading", "align.kind", "align.at", "item_pos", "n_windows", "item_slots", "slots")
+    key = ["doc_id", "item_id", "reading", "item_reading", "kind", "at"]
     places = met.groupBy(*key).agg(F.count_distinct("item_pos").alias("n_matched"), F.max("n_windows").alias("n_windows"))
     value = met.select(*key, F.explode(F.arrays_zip("item_slots", "slots")).alias("z")).groupBy(*key, F.col("z.item_slots").alias("v")).agg(F.min("z.slots").alias("lo"), F.max("z.slots").alias("hi"))
     slots = value.groupBy(*key).agg(F.count("*").alias("n_slots"), F.count_if(F.col("lo") != F.col("hi")).alias("torn"), F.count_if((F.col("lo") != F.col("v")) | (F.col("hi") != F.col("v"))).alias("n_changed"))
     same = [F.col(f"p.{k}").eqNullSafe(F.col(f"s.{k}")) for k in key]
-    one = places.alias("p").join(slots.alias("s"), same[0] & same[1] & same[2] & same[3], "left").where("coalesce(torn, 0) = 0")
+    one = places.alias("p").join(slots.alias("s"), reduce(and_, same), "left").where("coalesce(torn, 0) = 0")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    best = F.max(F.struct("n_matched", (-zero("n_changed")).alias("c"), zero("n_slots").alias("s"), "n_windows"))
-    out = one.select("p.doc_id", "p.item_id", "n_matched", "n_changed", "n_slots", "n_windows").groupBy("doc_id", "item_id").agg(best.alias("b"))
-    out = out.select("doc_id", "item_id", "b.n_matched", "b.n_windows", (F.col("b.n_matched") / F.col("b.n_windows")).alias("coverage"), F.col("b.s").alias("n_slots"), (-F.col("b.c")).alias("n_changed"))
+    # joined readings speak where that word by word is no leak
+    ratio = F.col("n_matched") / F.col("n_windows")
+    best = F.max(F.struct((ratio >= coverage).alias("leak"), (-F.col("reading") - F.col("item_reading")).alias("plain"), ratio.alias("coverage"), "n_matched", (-zero("n_changed")).alias("c"), zero("n_slots").alias("s"), "n_windows"))
+    out = one.select("p.doc_id", "p.item_id", "p.reading", "p.item_reading", "n_matched", "n_changed", "n_slots", "n_windows").groupBy("doc_id", "item_id").agg(best.alias("b"))
+    out = out.select("doc_id", "item_id", "b.n_matched", "b.n_windows", "b.coverage", F.col("b.s").alias("n_slots"), (-F.col("b.c")).alias("n_changed"))
     return out.where(F.col("coverage") >= coverage)
 
 

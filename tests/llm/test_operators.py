@@ -342,6 +342,108 @@ def test_every_item_can_be_found(spark):
     assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 2), (3, 3), (4, 1), (6, 4), (8, 1), (None, 3)}
 
 
+def test_names_and_numbers_of_several_words(spark):
+    items = [
+        (1, "A train leaves Boston at noon and goes to Denver with five pounds of mail and 12 bags before it returns to Boston"),
+        (2, "Then New York sold 25 tons of wheat, and Chicago bought them for two hundred dollars a ton in the end"),
+        (3, "In San Francisco Anna, Berta and Carl share twenty-five cookies that were baked by Dora yesterday evening at home"),
+    ]
+    docs = [
+        (1, items[0][1].replace("Boston", "New York").replace("Denver", "San Francisco")),
+        (2, items[0][1].replace("five", "17").replace("12", "forty two")),
+        (3, items[0][1].replace("goes to Denver", "goes to Salt Lake City").replace("Boston", "Rome").lower()),  # a name that no item has, in lower case: words
+        (4, items[0][1].replace("Boston", "New York", 1)),  # one name for two
+        (5, items[1][1].replace("New York", "Rome").replace("two hundred", "90").replace("25", "three")),
+        (6, items[1][1].replace("Chicago", "New York", 1).replace("New York", "Chicago", 1).lower()),  # the names of items in lower case, exchanged
+        (7, items[2][1].replace("San Francisco", "Rome").replace("Carl", "Mary Ann").replace("twenty-five", "3 million")),
+        (8, items[2][1].replace("Anna, Berta", "Anna Berta")),  # two names have become one
+        (9, "One train leaves at noon and goes on with five pounds of mail and some bags before it returns"),
+        (10, f"Word. {items[0][1]} {items[1][1]}"),
+    ]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.n_changed for r in decontaminate.leaks(documents(spark, docs), bench).collect()}
+    assert {(1, 1), (2, 1), (5, 2), (6, 2), (7, 3), (10, 1), (10, 2)} <= set(got) and not {4, 9} & {d for d, _ in got}
+    assert got[10, 1] == got[10, 2] == 0 and got[1, 1] > 0 and got[2, 1] > 0
+
+
+def brute_leaks(docs, items, coverage=0.5):
+    """Leaks by comparing every window of every item with every window of every document as lists of tokens."""
+    g = decontaminate
+    names = Counter()
+    for _, t in items:
+        for w, k in brute_words(t):
+            names[w, k == g._KNOWN] += k in (g._KNOWN, g._LITERAL)
+    names = {w for (w, capital), n in names.items() if capital and n and not names[w, False]}
+
+    def sequences(t):
+        w = [(a, b if b in (g._NUM, g._UNIT) or a not in names else g._KNOWN) for a, b in brute_words(t)]
+        return [[(a, (g._KNOWN if as_name else g._LITERAL) if b == g._CAP else b) for a, b in w] for as_name in (False, True)]
+
+    def windows(t):
+        out = set()
+        for s in sequences(t):
+            for p in range(len(s) - g.WINDOW + 1):
+                x = s[p : p + g.WINDOW]
+                if sum(b == g._LITERAL for _, b in x) >= g.LITERALS:
+                    out.add((p, tuple(a if b == g._LITERAL else g._TAG[b] for a, b in x), tuple(a for a, b in x if b != g._LITERAL)))
+        return out
+
+    leaks = set()
+    for d, t in docs:
+        of = defaultdict(list)
+        for p, template, slots in windows(t):
+            of[template].append((p, slots))
+        for i, u in items:
+            mine = windows(u)
+            met = [(q - p, p, a, b) for p, template, a in mine for q, b in of.get(template, ())]
+            for lo, wide in [(s, 1) for s in {m[0] for m in met}] + [(k * g.DRIFT // 2, g.DRIFT) for k in {m[0] // (g.DRIFT // 2) - e for m in met for e in (0, 1)}]:
+                one = [m for m in met if lo <= m[0] < lo + wide]
+                pairs = {(a, b) for m in one for a, b in zip(m[2], m[3], strict=True)}
+                if len({p for _, p, _, _ in one}) >= coverage * len({m[0] for m in mine}) > 0 and len({a for a, _ in pairs}) == len(pairs):
+                    leaks.add((d, i))
+    return leaks
+
+
+def brute_words(t):
+    """(lower-cased core, kind) of the words of a text of ASCII words with single spaces."""
+    g, out, opens = decontaminate, [], True
+    for w in t.split():
+        core = re.sub(r"^[\W_]+|[\W_]+$", "", w)
+        k = g._NUM if core.isdigit() or core.lower() in g.NUMBERS else g._UNIT if core.lower() in g.UNITS else g._CAP if re.fullmatch("[A-Z][a-z]+", core) else g._LITERAL
+        out.append((core.lower(), g._KNOWN if k == g._CAP and not opens else k))
+        opens = w[-1] in ".!?:"
+    return out
+
+
+def test_leaks_against_brute_force(spark):
+    """Whole leaks of generated questions: copies, other numbers and names, torn ones, words put in, halves, other texts.
+    Names stand alone and numbers aren't spelled in a row, so that every word is a token."""
+    rng = random.Random(61)
+    plain = ["the", "gives", "apples", "to", "and", "then", "buys", "more", "for", "every", "river", "takes", "how", "many", "left"]
+    people = ["Tom", "Anna", "Carl", "Dora", "Emil", "Nina"]
+
+    def question(n):
+        out = []
+        while len(out) < n:
+            out += [rng.choice(plain) for _ in range(rng.randrange(2, 4))] + [rng.choice([rng.choice(people), str(rng.randrange(2, 90)), "seven", "kg", "days"])]
+        return ("So " + " ".join(out) + ".").replace("  ", " ")
+
+    items = [(k, question(rng.randrange(14, 40))) for k in range(25)]
+    docs = []
+    for k, (_, t) in enumerate(items):
+        swap = dict(zip(people, rng.sample(["Bob", "Mary", "Otto", "Ida", "Hugo", "Rita"], 6)))
+        other = " ".join(swap.get(w.strip("."), w) for w in t.split())
+        numbers = {}
+        changed = re.sub(r"\d+", lambda m: numbers.setdefault(m[0], str(rng.randrange(100, 999))), other)
+        torn = re.sub(r"\d+", lambda m: str(rng.randrange(100, 999)), t)
+        w = t.split()
+        put_in = " ".join([*w[: len(w) // 2], "really", "very", *w[len(w) // 2 :]])
+        docs += [(10 * k, question(30) + " " + t), (10 * k + 1, changed), (10 * k + 2, torn), (10 * k + 3, put_in), (10 * k + 4, " ".join(w[: len(w) * 2 // 3])), (10 * k + 5, t.lower()), (10 * k + 6, question(60))]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(documents(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute_leaks(docs, items)
+    assert got == want and len(want) > 80 and {(10 * k, k) for k in range(25)} <= want
+
+
 def test_templates_against_expressions():
     """What words are, by arrays over bytes, against regular expressions word by word."""
     number, name, edge = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*[%°]?[a-z]{0,3}"), re.compile(r"[^\W\d_][^\W\d_A-ZÀ-Þ]+"), re.compile(r"^[\W_]+|[\W_]+$")

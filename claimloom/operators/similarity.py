@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import written
 
 #: Characters of a piece of text in the containment index.
 GRAM = 5
@@ -31,20 +32,19 @@ def word_counts(sets: DataFrame, rules: DataFrame, words: str, rule_words: str)
     return known.join(seen, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def prefix_index(rules: DataFrame, rule_words: str, counts: DataFrame, threshold: float) -> DataFrame:
-    """rules with a row for each word of their prefix: (all columns, _word, _place, _prefix, _bucket).
+def prefix_index(rules: DataFrame, keys: list[str], rule_words: str, counts: DataFrame, threshold: float) -> DataFrame:
+    """rules (*keys, _rule, rule_words) -> a narrow row for each word of a rule's prefix: (*keys, _rule, _word, _place, _prefix, _size, _bucket).
 
     The prefix is the shortest list of a rule's rarest words of which one at least is in every set of
     enough likeness; _place is the word's place in it. A row goes to each size class that can be similar.
     """
-    r = rules.where(F.size(rule_words) > 0).withColumn("_rule", F.sha2(F.to_json(F.array_sort(rule_words)), 256))
-    ranked = r.select("_rule", rule_words).dropDuplicates(["_rule"]).select("_rule", F.explode(rule_words).alias("word")).join(counts, "word").groupBy("_rule").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("o"))
+    ranked = rules.select("_rule", rule_words).dropDuplicates(["_rule"]).select("_rule", F.explode(rule_words).alias("word")).join(counts, "word").groupBy("_rule").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("o"))
     size = F.size("o")
     some = (size - F.ceil(size * threshold - 1e-9) + 1).cast("int")
-    prefixes = ranked.select("_rule", F.slice(F.transform("o", lambda x: x["word"]), F.lit(1), some).alias("_prefix"), _bucket(size, threshold).alias("b"))
-    placed = prefixes.select("_rule", "_prefix", F.posexplode("_prefix").alias("_place", "_word"), "b")
+    prefixes = ranked.select("_rule", F.slice(F.transform("o", lambda x: x["word"]), F.lit(1), some).alias("_prefix"), size.alias("_size"), _bucket(size, threshold).alias("b"))
+    placed = prefixes.select("_rule", "_prefix", "_size", F.posexplode("_prefix").alias("_place", "_word"), "b")
     near = placed.withColumn("_bucket", F.explode(F.array("b") if threshold >= 1 else F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1))).drop("b")
-    return r.join(near, "_rule").drop("_rule")
+    return rules.select("_rule", *keys).distinct().join(near, "_rule")
 
 
 def jaccard_candidates(sets: DataFrame, rules: DataFrame, keys: list[str], words: str, rule_words: str, threshold: float) -> DataFrame:
@@ -52,14 +52,17 @@ def jaccard_candidates(sets: DataFrame, rules: DataFrame, keys: list[str], words
 
     A text meets a rule of its keys and of a similar size class under a word of the rule's prefix. Of
     several such words the first counts. From its place follows how many words can be shared at most;
-    pairs for which that is too few go at once.
+    pairs for which that is too few go at once. Rules and their index are written first, so that the
+    planner knows how small they are and texts, which stand here once a word, stay where they are read.
     """
-    index = prefix_index(rules, rule_words, word_counts(sets, rules, words, rule_words), threshold)
-    s = sets.where(F.size(words) > 0).withColumn("_bucket", _bucket(F.size(words), threshold)).withColumn("_word", F.explode(words))
-    met = s.join(index, [*keys, "_word", "_bucket"])
+    r = written(rules.where(F.size(rule_words) > 0).withColumn("_rule", F.sha2(F.to_json(F.array_sort(rule_words)), 256)), "rules")
+    index = written(prefix_index(r, keys, rule_words, word_counts(sets, r, words, rule_words), threshold), "index")
+    least, most = index.agg(F.min("_bucket"), F.max("_bucket")).first()  # no other size class meets a rule
+    s = sets.where(F.size(words) > 0).withColumn("_bucket", _bucket(F.size(words), threshold)).where(F.col("_bucket").between(F.lit(least), F.lit(most)))
+    met = s.withColumn("_word", F.explode(words)).join(index, [*keys, "_word", "_bucket"])
     first = ~F.arrays_overlap(F.slice("_prefix", F.lit(1), F.col("_place")), words)
-    enough = F.size(rule_words) - F.col("_place") >= F.ceil((F.size(words) + F.size(rule_words)) * (threshold / (1 + threshold)) - 1e-9)
-    return met.where(first & enough).drop("_word", "_bucket", "_place", "_prefix")
+    enough = F.col("_size") - F.col("_place") >= F.ceil((F.size(words) + F.col("_size")) * (threshold / (1 + threshold)) - 1e-9)
+    return met.where(first & enough).drop("_word", "_bucket", "_place", "_prefix", "_size").join(r, [*keys, "_rule"]).drop("_rule")
 
 
 def jaccard_join(sets: DataFrame, rules: DataFrame, keys: list[str], words: str = "words", rule_words: str = "rule_words", threshold: float = 0.4) -> DataFrame:

@@ -130,3 +130,12 @@ def test_number_validation(spark):
 def test_premise(spark):
     r = spark.createDataFrame([("p", "authorized", "", 0, "A"), ("p", "spec", "display", 0, "6 in"), ("p", "spec", "display", 1, "7 in")], "product_id string, rule_type string, category_path string, rule_idx int, rule_text string")
     assert R.premise(r).first().premise == "AUTHORIZED:\n- A\n\nPROHIBITED:\n(none)\n\nSPECS:\n- display: 6 in\n- display: 7 in\n\nDISCLAIMERS:\n(none)"
+
+
+def test_equal_claims_meet_rules_once(spark, monkeypatch):
+    met, join = [], R.containment_join
+    monkeypatch.setattr(R, "containment_join", lambda a, b, *how: (met.append((a.count(), b.count())), join(a, b, *how))[1])
+    c = spark.createDataFrame([(i, "p", "Large ring." if i % 2 else "old PLATE") for i in range(40)], "claim_id long, product_id string, claim string")
+    r = spark.createDataFrame([(j, "p", "large ring") for j in range(30, 0, -1)], "rule_idx long, product_id string, rule_text string")
+    assert {(x.claim_id % 2, x.match, x.rule_idx) for x in R.best_match(c, r).collect()} == {(1, "exact", 1), (0, "none", None)}
+    assert met == [(2, 1)]

@@ -8,6 +8,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Runs of a condition that a task makes at a time.
+STRETCH = 100_000
+
 
 def draw(key: Column | str, seed: int) -> Column:
     """A hash order that other engines share."""
@@ -86,7 +89,7 @@ def shuffled(rows: DataFrame, seed: int = 42, key: str = "run_id") -> DataFrame:
     d = rows.withColumn("_h", draw(key, seed)).withColumn("_b", F.substring("_h", 1, 3))  # 4096 ranges
     before = d.groupBy("_b").agg(F.count("*").alias("_n")).select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"))
     at = F.row_number().over(Window.partitionBy("_b").orderBy("_h", key))
-    return d.join(before, "_b").withColumn("run_order", F.col("_before") + at).drop("_h", "_b", "_before")
+    return d.join(F.broadcast(before), "_b").withColumn("run_order", F.col("_before") + at).drop("_h", "_b", "_before")
 
 
 def scheduled(rows: DataFrame, start: str, hours: float, seed: int = 42, key: str = "run_id") -> DataFrame:
@@ -105,7 +108,8 @@ def balanced(rows: DataFrame, within: Sequence[str], column: str, levels: Sequen
     for c in same[1:]:
         on = on & c
     d = d.withColumn("_at", F.row_number().over(Window.partitionBy(*within, "_b").orderBy("_h", key)))
-    rows = d.alias("d").join(starts.alias("s"), on).select("d.*", F.col("s._before").alias("_before"))
+    # sorted on both sides: neither is broadcast, for rows made here look few to the planner
+    rows = d.alias("d").join(starts.alias("s").hint("merge"), on).select("d.*", F.col("s._before").alias("_before"))
     at = F.col("_before") + F.col("_at") - 1
     offset = F.floor(uniform(F.concat_ws("|", *[F.col(c).cast("string") for c in within]), seed) * len(levels)).cast("int") if within else F.lit(0)
     return rows.withColumn(column, F.element_at(F.array(*[F.lit(v) for v in levels]), ((at + offset) % len(levels) + 1).cast("int"))).drop("_h", "_b", "_at", "_before")
@@ -114,10 +118,13 @@ def balanced(rows: DataFrame, within: Sequence[str], column: str, levels: Sequen
 def stratified_matrix(conditions: DataFrame, total: int, days: Sequence[str], slots: Sequence[str], seed: int = 42) -> DataFrame:
     """`total` runs over the conditions by quota, the remainder one each to conditions in hash order;
     days balanced in each condition, slots in each day."""
-    n = conditions.count()
+    n = max(1, conditions.count())
     key = F.concat_ws("|", *[F.col(c).cast("string") for c in conditions.columns])
     c = shuffled(conditions.withColumn("run_id", key), seed).withColumn("quota", F.lit(total // n) + (F.col("run_order") <= total % n).cast("int"))
-    runs = c.where("quota > 0").select(*conditions.columns, F.col("run_id").alias("condition"), F.explode(F.sequence(F.lit(1), F.col("quota"))).alias("repetition_id"))
+    stretch = F.explode(F.sequence(F.lit(1), F.col("quota"), F.lit(STRETCH))).alias("_from")
+    c = c.where("quota > 0").select(*conditions.columns, F.col("run_id").alias("condition"), "quota", stretch).repartition(min(1000, n + total // STRETCH) or 1, "condition", "_from")
+    upto = F.least("quota", F.col("_from") + (STRETCH - 1))
+    runs = c.select(*conditions.columns, "condition", F.explode(F.sequence("_from", upto)).alias("repetition_id"))
     runs = runs.withColumn("run_id", F.sha1(F.concat_ws("#", "condition", F.col("repetition_id").cast("string"))))
     return balanced(balanced(runs, ["condition"], "day", days, seed), ["day"], "slot", slots, seed)
 

@@ -15,6 +15,7 @@ from ..operators import rules as R
 from ..operators import runlog as L
 from ..operators import stats as S
 from ..sources import io
+from ..sources.scratch import written
 from ..streaming import incremental
 from . import tables as t
 from .registry import query
@@ -760,14 +761,18 @@ def sample_one_per_material(spark, d):
     return D.one_per_group(t.docs(spark, d), "engine").select("run_id", "engine")
 
 
-def _conditions(spark, d):
-    r = t.runs(spark, d)
-    return r.select("engine").distinct().crossJoin(F.broadcast(r.select("product_id").distinct())).crossJoin(F.broadcast(r.select("status").distinct()))  # a handful of levels each
+def _levels(spark, d):
+    """The runs of each combination of levels, counted in one pass: a handful of rows, written."""
+    return written(t.runs(spark, d).groupBy("engine", "product_id", "status").agg(F.count("*").alias("n")), "levels")
+
+
+def _conditions(levels):
+    return levels.select("engine").distinct().crossJoin(F.broadcast(levels.select("product_id").distinct())).crossJoin(F.broadcast(levels.select("status").distinct()))  # a handful of levels each
 
 
 @query("matrix_cartesian", "SELECT * FROM (SELECT DISTINCT engine FROM runs), (SELECT DISTINCT product_id FROM runs), (SELECT DISTINCT status FROM runs)", "runs")
 def matrix_cartesian(spark, d):
-    return _conditions(spark, d)
+    return _conditions(_levels(spark, d))
 
 
 @query(
@@ -777,7 +782,7 @@ def matrix_cartesian(spark, d):
     FROM (SELECT *, sha1(concat_ws('|', engine, product_id, status, CAST(repetition_id AS VARCHAR))) AS run_id FROM (SELECT DISTINCT engine FROM runs), (SELECT DISTINCT product_id FROM runs), (SELECT DISTINCT status FROM runs), (VALUES (1), (2), (3)) r(repetition_id))))""", "runs",
 )
 def matrix_replicated(spark, d):
-    return D.replicated(_conditions(spark, d), 3, "2026-01-05", 7)
+    return D.replicated(_conditions(_levels(spark, d)), 3, "2026-01-05", 7)
 
 
 @query("matrix_run_id", """SELECT sha1('{"engine":"' || engine || '","product_id":"' || product_id || '","run_order":' || CAST(run_order AS VARCHAR) || '}') AS run_id, run_order FROM runs""", "runs")
@@ -814,8 +819,9 @@ STRATIFIED = """(SELECT *, sha1(condition || '#' || CAST(repetition_id AS VARCHA
 
 @query("matrix_stratified", f"SELECT * FROM {_dealt_sql(_dealt_sql(STRATIFIED, 'condition', 'day', list(A.DAYS)), 'day', 'slot', SLOTS)}", "runs")
 def matrix_stratified(spark, d):
-    total = t.runs(spark, d).count()
-    return D.stratified_matrix(_conditions(spark, d), total, list(A.DAYS), SLOTS)
+    levels = _levels(spark, d)
+    total = levels.agg(F.sum("n")).first()[0] or 0
+    return D.stratified_matrix(_conditions(levels), total, list(A.DAYS), SLOTS)
 
 
 @query(

@@ -161,3 +161,12 @@ def test_streams_do_each_file_once(spark, tmp_path):
 
 def test_mode_of_p_values():
     assert math.isclose(S.beta_cdf(0.5, 2, 2), 0.5)
+
+
+def test_designs_broadcast_no_runs(spark):
+    """Runs that are made from quotas look few to the planner; the only table that is sent to all tasks is that of hash ranges."""
+    c = spark.range(3).select(F.col("id").cast("string").alias("engine"))
+    plan = D.stratified_matrix(c, 50, ["a", "b"], ["x", "y"])
+    assert plan._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") <= plan._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin")
+    assert "SortMergeJoin" in plan._jdf.queryExecution().executedPlan().toString()
+    assert plan.count() == plan.select("run_id").distinct().count() == 50

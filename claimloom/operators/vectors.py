@@ -140,12 +140,18 @@ def nearest_rules(claims: DataFrame, rules: DataFrame, keys: list[str], k: int =
     wide = "double" in claims.schema["vector"].dataType.simpleString() + rules.schema["vector"].dataType.simpleString()
     if wide:
         claims, rules = (x.withColumn("vector", F.col("vector").cast("array<double>")) for x in (claims, rules))
-    c, r = _usable(claims, keys, "claim_id"), _usable(rules, keys, "rule_idx")
+    rows, r = _usable(claims, keys, "claim_id"), _usable(rules, keys, "rule_idx")
+    # equal vectors of a key are one: it is searched once, and only the k first rules of one can be among the nearest
+    same = F.row_number().over(Window.partitionBy("key", "vector").orderBy("id"))
+    r = r.withColumn("_n", same).where(F.col("_n") <= k).drop("_n")
+    c = written(rows.select("key", "vector").distinct().withColumn("id", F.monotonically_increasing_id()), "vectors")
+    owners = rows.join(c.withColumnRenamed("id", "vid"), ["key", "vector"]).select(F.col("id").alias("_owner"), "vid")
+    back = lambda found: best(owners.join(found.select(F.col("claim_id").alias("vid"), "rule_idx", "cosine"), "vid").select(F.col("_owner").alias("claim_id"), "rule_idx", "cosine"), k)
     sizes = r.groupBy("key").agg((F.count("*") <= small).alias("small"))
     c, r = (x.join(sizes, "key").select("key", "id", "vector", "small") for x in (c, r))
     if sizes.where("not small").isEmpty():  # no index is needed
         none = lambda x, low: (np.zeros(0, int), np.zeros(0, int))
-        return best(scored(blocks(c, none), blocks(r, none), k, least, wide), k)
+        return back(best(scored(blocks(c, none), blocks(r, none), k, least, wide), k))
     centre = fit_cells(r.where("not small"), cells)
     ruled = written(blocks(r, lambda x, low: (np.arange(len(x)), np.argmax(x @ centre.T, axis=1))), "cells")
 
@@ -179,9 +185,9 @@ def nearest_rules(claims: DataFrame, rules: DataFrame, keys: list[str], k: int =
 
     first = written(best(scored(blocks(c, probed), ruled, k, least, wide), k), "nearest")
     if not exact:
-        return first
+        return back(first)
     worst = first.groupBy("claim_id").agg(F.count("*").alias("n"), F.min("cosine").alias("worst"))
     low = F.when(F.col("n") >= k, F.col("worst")).otherwise(F.lit(least))
     open_ = c.where("not small").join(worst, F.col("id") == F.col("claim_id"), "left").select("key", "id", "vector", "small", F.coalesce(low, F.lit(least)).alias("low"))
     rest = scored(blocks(open_, left, extra=True), ruled, k, least, wide)
-    return best(first.drop("rank").unionByName(rest), k)
+    return back(best(first.drop("rank").unionByName(rest), k))

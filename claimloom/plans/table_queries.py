@@ -15,7 +15,7 @@ from ..operators import rules as R
 from ..operators import runlog as L
 from ..operators import stats as S
 from ..sources import io
-from ..sources.scratch import written
+from ..sources.scratch import spread, written
 from ..streaming import incremental
 from . import tables as t
 from .registry import query
@@ -547,7 +547,8 @@ kept AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY cosine DESC
 
 
 def _filtered(spark, d):
-    claims, rules = _parts(spark, d)
+    # vectors are made from letters, which costs more than a shuffle of names: by all cores
+    claims, rules = (spread(x, i) for x, i in zip(_parts(spark, d), ("claim_id", "rule_idx"), strict=True))
     return U.filtered_pairs(claims.withColumn("vector", U.letters(F.col("claim"))), rules.withColumn("vector", U.letters(F.col("rule_text"))), k=3, least=0.83)
 
 

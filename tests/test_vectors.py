@@ -85,3 +85,16 @@ def test_filter_inside_the_audit(spark):
     assert {(r.claim_id, r.rule_idx, r.claim, r.rule_text, r.rule_type) for r in kept.collect()} == {(1, 1, "pure merino wool", "pure merino wool", "authorized"), (1, 2, "pure merino wool", "merino wool, pure", "prohibited")}
     assert U.score_pairs(kept).count() == 2
     assert [tuple(r) for r in U.measured_reduction(claims, rules, kept).collect()] == [("p", 4, 2, 50.0)]
+
+
+def test_equal_vectors_are_searched_once(spark, monkeypatch):
+    """Claims and rules that repeat meet as one, however many ids they have; every id has its own rows."""
+    sizes, scored = [], V.scored
+    count = lambda b: b.select(F.sum(F.size("ids"))).first()[0]
+    monkeypatch.setattr(V, "scored", lambda c, r, *how: (sizes.append((count(c), count(r))), scored(c, r, *how))[1])
+    vectors = [[1.0, 0.0], [0.6, 0.8], [0.0, 1.0]]
+    claims = [(i, "p", vectors[i % 3], 1, 1) for i in range(90)]
+    rules = [(j, "p", vectors[j % 2], "x", 1) for j in range(80)]
+    c, r = spark.createDataFrame(claims, C), spark.createDataFrame(rules, R)
+    assert rows(U.semantic_topk(c, r, 3, 0.3)) == brute(claims, rules, 3, 0.3)
+    assert sizes == [(3, 6)]

@@ -23,6 +23,8 @@ from ..sources.scratch import written
 BLOCK, HELD = 256, 1 << 15
 #: Centroids at most, vectors of the sample that they are fitted on, rounds.
 CELLS, SAMPLE, ROUNDS = 1024, 20_000, 10
+#: Rules of the largest key in a cell, about; with fewer cells than that makes, cells are larger.
+CELL = 4096
 #: Keys of fewer rules have one cell: all of their rules are compared.
 SMALL = 1024
 
@@ -152,7 +154,9 @@ def nearest_rules(claims: DataFrame, rules: DataFrame, keys: list[str], k: int =
     if sizes.where("not small").isEmpty():  # no index is needed
         none = lambda x, low: (np.zeros(0, int), np.zeros(0, int))
         return back(best(scored(blocks(c, none), blocks(r, none), k, least, wide), k))
-    centre = fit_cells(r.where("not small"), cells)
+    # vectors go to each cell they search: cells hold as many rules of a key as make that worth it
+    large = r.where("not small").groupBy("key").count().agg(F.max("count")).first()[0]
+    centre = fit_cells(r.where("not small"), min(cells, max(1, large // CELL)))
     ruled = written(blocks(r, lambda x, low: (np.arange(len(x)), np.argmax(x @ centre.T, axis=1))), "cells")
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

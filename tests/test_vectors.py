@@ -98,3 +98,13 @@ def test_equal_vectors_are_searched_once(spark, monkeypatch):
     c, r = spark.createDataFrame(claims, C), spark.createDataFrame(rules, R)
     assert rows(U.semantic_topk(c, r, 3, 0.3)) == brute(claims, rules, 3, 0.3)
     assert sizes == [(3, 6)]
+
+
+def test_cells_follow_the_rules_of_a_key(tables, monkeypatch):
+    """Vectors go to each cell they search, so there are only as many cells as hold CELL rules each; with several, the rows are those of brute force."""
+    claims, rules, c, r = tables
+    asked, fit = [], V.fit_cells
+    monkeypatch.setattr(V, "fit_cells", lambda rows_, cells: (asked.append(cells), fit(rows_, cells))[1])
+    monkeypatch.setattr(V, "CELL", 40)
+    assert rows(U.semantic_topk(c, r, 3, 0.3, small=0, probes=2)) == brute(claims, rules, 3, 0.3)
+    assert len(asked) == 1 and 8 <= asked[0] <= 15

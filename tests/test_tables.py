@@ -7,6 +7,7 @@ from claimloom.operators import aggregates as A
 from claimloom.operators import audit as U
 from claimloom.operators import compare as M
 from claimloom.operators import design as D
+from claimloom.operators import rules as R
 from claimloom.operators import runlog as L
 from claimloom.operators import stats as S
 from claimloom.sources import io
@@ -198,3 +199,14 @@ def test_scores_of_candidates_are_those_of_pairs(spark):
     columns = ["claim_id", "rule_idx", "claim", "rule_text", "contradiction", "entailment", "neutral"]
     got, want = ([tuple(x) for x in df.select(columns).orderBy("claim_id", "rule_idx").collect()] for df in (U.score_candidates(c, r), U.score_pairs(U.candidate_pairs(c, r))))
     assert got == want and len(got) == 800
+
+
+def test_numbers_meet_different_specs_and_come_back_for_every_one(spark):
+    """2,500 repeats of a spec are three rows of the join, and 2,500 of the result."""
+    numbers = spark.createDataFrame([(1, "p", 0, 10.0, "g"), (2, "p", 1, 20.0, "g"), (3, "q", 0, 10.0, "g"), (4, "p", 0, None, "g")], "run_id int, product_id string, ord int, value double, unit string")
+    specs = spark.range(2500).selectExpr("'p' as product_id", "20.0D as value", "'g' as unit").union(spark.createDataFrame([("p", None, "g"), ("p", 15.0, "mg"), ("p", 15.0, "mg"), ("q", 10.0, "g")], "product_id string, value double, unit string"))
+    assert R._different_specs(specs, "product_id", "value", "unit").count() == 3 + 3
+    off = R.number_errors(numbers, specs).groupBy("run_id", "spec_value").count()
+    assert {tuple(r) for r in off.collect()} == {(1, 20.0, 2500), (1, None, 1), (2, None, 1), (4, 20.0, 2500), (4, None, 1)}
+    near = R.unit_errors(numbers, specs.withColumn("unit", F.when(F.col("unit") == "g", "l").otherwise("g"))).groupBy("run_id", "spec_value", "spec_unit").count()
+    assert {tuple(r) for r in near.collect()} == {(2, 20.0, "l", 2500), (3, 10.0, "l", 1)}

@@ -210,3 +210,13 @@ def test_numbers_meet_different_specs_and_come_back_for_every_one(spark):
     assert {tuple(r) for r in off.collect()} == {(1, 20.0, 2500), (1, None, 1), (2, None, 1), (4, 20.0, 2500), (4, None, 1)}
     near = R.unit_errors(numbers, specs.withColumn("unit", F.when(F.col("unit") == "g", "l").otherwise("g"))).groupBy("run_id", "spec_value", "spec_unit").count()
     assert {tuple(r) for r in near.collect()} == {(2, 20.0, "l", 2500), (3, 10.0, "l", 1)}
+
+
+def test_texts_are_written_by_tasks_as_files_named_by_their_keys(spark, tmp_path):
+    rows_ = [("a", "one\r\ntwo"), ("b/c d", "é\x00"), ("d.e", "x" * 70_000), (None, "gone"), ("f", None)]
+    docs = spark.createDataFrame(rows_, "run_id string, text string").repartition(3)
+    for _ in range(2):  # a repeated task leaves the same files
+        assert io.write_texts(docs, f"file://{tmp_path}/texts") == 3
+    assert sorted(f.name for f in (tmp_path / "texts").rglob("*") if f.is_file()) == ["a.txt", "b%2Fc%20d.txt", "d.e.txt"]
+    got = {r.run_id: r.text for r in io.read_texts(spark, f"file://{tmp_path}/texts/*").collect()}
+    assert got["a"] == rows_[0][1] and got["d.e"] == rows_[2][1] and sorted(len(x) for x in got.values()) == [2, 8, 70_000]

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from claimloom.llm import bloom, common, decontaminate, line_dedup, lm, minhash, mixing, pii, quality, simhash, toxicity, url_filter
+from claimloom.llm import bloom, common, decontaminate, groups, line_dedup, lm, minhash, mixing, pii, quality, simhash, toxicity, url_filter
 from claimloom.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -906,3 +906,11 @@ def test_lm_words_survive_encoding():
 def test_held_out_is_crc32(spark):
     got = spark.range(50).select("id", common.held_out(F.col("id"), 7, 2).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 7 == 2) for r in got)
+
+
+def test_every_pair_of_a_crowded_bucket_is_compared(spark):
+    """60 rows of a bucket whose finer buckets hold one row each: links that are no neighbours are found."""
+    sent = spark.range(60).select(F.lit(1).cast("long").alias("key"), F.col("id").alias("o"), F.lit(0).cast("long").alias("z"), (F.col("id") + 100).alias("id"))
+    alone = lambda crowds, level: crowds.withColumn("key", F.col("id") * 10 + level)
+    found = groups.linked(sent, lambda o, z, o2, z2: F.lit(True), alone, lambda links: links.where("(b - a) % 20 = 0 and a % 20 > 2"), common.Spool(spark, "crowd"), 3)
+    assert {r.id: r.root for r in found.collect()} == {100 + i: 100 + i % 20 for i in range(60) if i % 20 > 2}

@@ -914,3 +914,15 @@ def test_every_pair_of_a_crowded_bucket_is_compared(spark):
     alone = lambda crowds, level: crowds.withColumn("key", F.col("id") * 10 + level)
     found = groups.linked(sent, lambda o, z, o2, z2: F.lit(True), alone, lambda links: links.where("(b - a) % 20 = 0 and a % 20 > 2"), common.Spool(spark, "crowd"), 3)
     assert {r.id: r.root for r in found.collect()} == {100 + i: 100 + i % 20 for i in range(60) if i % 20 > 2}
+
+
+def test_lm_learns_from_every_block_of_every_training_row(spark):
+    """As many blocks come to training as the rows have, one for every BLOCK subwords and the end."""
+    texts = [words(random.Random(k), 40 + k) for k in range(60)]
+    tokens, ranks = [t.encode().split() for t in texts], lm.read_vocabulary(lm.VOCABULARY)
+    sub = lm.Subwords(ranks, {})
+    _, sizes, pieces = sub.read(tokens)
+    counts = lm._subword_counts(sizes, tokens)
+    m = lm.start_model(pieces, counts, sub.opens, steps=5)
+    train = spark.createDataFrame([(k, bytearray(t.encode())) for k, t in enumerate(texts)], "key long, text binary").repartition(3)
+    assert lm.learn(train, ranks, m.state()).where("block is not null").count() == sum(-(-(int(c) + 1) // lm.BLOCK) for c in counts)

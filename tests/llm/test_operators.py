@@ -926,3 +926,21 @@ def test_lm_learns_from_every_block_of_every_training_row(spark):
     m = lm.start_model(pieces, counts, sub.opens, steps=5)
     train = spark.createDataFrame([(k, bytearray(t.encode())) for k, t in enumerate(texts)], "key long, text binary").repartition(3)
     assert lm.learn(train, ranks, m.state()).where("block is not null").count() == sum(-(-(int(c) + 1) // lm.BLOCK) for c in counts)
+
+
+def test_lm_rows_of_blocks(spark):
+    """Up to TOGETHER blocks of a text travel in one row of a byte a subword, and are the same blocks."""
+    np = __import__("numpy")
+    texts = [words(random.Random(k), k * 9).encode().split() for k in range(90)]
+    ranks = lm.read_vocabulary(lm.VOCABULARY)
+    sub = lm.Subwords(ranks, {})
+    _, sizes, pieces = sub.read(texts)
+    counts = lm._subword_counts(sizes, texts)
+    m = lm.start_model(pieces, counts, sub.opens, steps=2)
+    inp, tgt, prev = m.blocks(pieces, counts)
+    want = Counter(np.concatenate([inp[k], inp[prev[k]], tgt[k]]).astype(int).tobytes() for k in range(len(prev)))
+    train = spark.createDataFrame([(k, bytearray(b" ".join(t))) for k, t in enumerate(texts)], "key long, text binary").repartition(3)
+    rows = lm.learn(train, ranks, m.state(), lm.TOGETHER).where("block is not null").select("mix", "block").collect()
+    own, before, t, n = lm._unpacked(np.array([r.mix for r in rows]), [bytes(r.block) for r in rows], np.arange(len(rows)))
+    assert Counter(np.concatenate(x).astype(int).tobytes() for x in zip(own, before, t)) == want and len(n) == len(prev)
+    assert len(rows) < len(prev) / 10 and sum(len(r.block) for r in rows) < 20 * len(prev)

@@ -928,6 +928,35 @@ def test_lm_learns_from_every_block_of_every_training_row(spark):
     assert lm.learn(train, ranks, m.state()).where("block is not null").count() == sum(-(-(int(c) + 1) // lm.BLOCK) for c in counts)
 
 
+def test_lines_apart_by_their_beginnings(spark):
+    """Pairs near the limit: what a beginning rules out isn't similar by all edits, and unlike lines go by it."""
+    rng = random.Random(51)
+    pairs = []
+    for k in range(300):
+        a = words(rng, rng.randrange(8, 40))
+        n = len(a) * rng.randrange(5, 40) // 100
+        at = sorted(rng.sample(range(len(a)), n)) if k % 3 else list(range(n)) if k % 2 else list(range(len(a) - n, len(a)))
+        b = list(a)
+        for i in at:
+            b[i] = rng.choice(["", "q", b[i] + "x"])
+        pairs.append((k, 1000 + k, a, "".join(b) if k % 10 else words(rng, len(a.split()))))
+    rows = spark.createDataFrame([x for a, b, s, t in pairs for x in ((a, s), (b, t))], "id long, norm string")
+    links = spark.createDataFrame([(a, b) for a, b, _, _ in pairs], "a long, b long")
+    got = {r.a for r in line_dedup.verified(links, rows, 0.8, common.Spool(spark, "begin")).collect()}
+    assert got == {a for a, _, s, t in pairs if char_edits(s, t) <= int(0.2 * max(len(s), len(t)) + 1e-9)} and 80 < len(got) < 250
+
+
+def test_neighbours_are_written_without_their_sketches(spark, monkeypatch):
+    """The tables of buckets hold a row's own sketch and its neighbour's id, nothing twice."""
+    columns, cut = [], common.Spool.cut
+    monkeypatch.setattr(common.Spool, "cut", lambda self, df: columns.append(df.columns) or cut(self, df))
+    sent = spark.range(60).select(F.lit(1).cast("long").alias("key"), F.col("id").alias("o"), F.lit(0).cast("long").alias("z"), (F.col("id") + 100).alias("id"))
+    finer = lambda crowds, level: crowds.withColumn("key", F.col("id") % 7)
+    found = groups.linked(sent, lambda o, z, o2, z2: F.lit(True), finer, lambda links: links.where("(b - a) % 20 = 0"), common.Spool(spark, "beside"), 3)
+    assert {r.id: r.root for r in found.collect()} == {100 + i: 100 + i % 20 for i in range(60)}
+    assert columns and not any(set(c) & {"o2", "z2", "root2"} for c in columns)
+
+
 def test_lm_rows_of_blocks(spark):
     """Up to TOGETHER blocks of a text travel in one row of a byte a subword, and are the same blocks."""
     np = __import__("numpy")

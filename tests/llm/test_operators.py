@@ -975,6 +975,37 @@ def test_lm_rows_of_blocks(spark):
     assert len(rows) < len(prev) / 10 and sum(len(r.block) for r in rows) < 20 * len(prev)
 
 
+def test_long_lines_by_characters(spark):
+    """Lines of over 1,000 characters with a typo in every third word: likeness is by characters there too, and unlike lines stay."""
+    rng = random.Random(57)
+    letter = lambda: rng.choice("abcdefghijklmnopqrstuvwxyz")
+    lines = []
+    for n in (220, 300, 400):
+        w = ["".join(letter() for _ in range(rng.randrange(3, 10))) for _ in range(n)]
+        b = [x[:k] + letter() + x[k + 1 :] if i % 3 == 0 and (k := rng.randrange(len(x))) >= 0 else x for i, x in enumerate(w)]
+        lines += [" ".join(w), " ".join(b), " ".join("".join(letter() for _ in x) if i % 3 == 0 else x for i, x in enumerate(w))]
+    assert min(map(len, lines)) > 1000 and removed(spark, lines) == {1, 4, 7}
+
+
+def test_long_lines_by_words_and_bands(spark):
+    """Pairs of long lines on both sides of the limit, each against all edits of characters."""
+    rng = random.Random(58)
+    pairs = []
+    for k in range(24):
+        a = words(rng, 190)
+        b = list(a)
+        for i in rng.sample(range(len(a)), len(a) * (1 + k) // 60):
+            b[i] = rng.choice(["", "q", b[i] + "x", "zz"])
+        w = a.split()
+        c = " ".join(x for i, x in enumerate(w) if i % (k + 2))  # words taken out
+        pairs += [(2 * k, a, "".join(b)), (2 * k + 1, a, c)]
+    rows = spark.createDataFrame([x for i, s, t in pairs for x in ((i, s), (1000 + i, t))], "id long, norm string")
+    links = spark.createDataFrame([(i, 1000 + i) for i, _, _ in pairs], "a long, b long")
+    got = {r.a for r in line_dedup.verified(links, rows, 0.8, common.Spool(spark, "long")).collect()}
+    want = {i for i, s, t in pairs if char_edits(s, t) <= int(0.2 * max(len(s), len(t)) + 1e-9)}
+    assert got == want and 10 < len(want) < 46
+
+
 def test_unlike_lines_go_by_their_sketches(spark, monkeypatch):
     """Lines of few endings and beginnings of words, none like another: hardly a pair gets to its texts, and crowded buckets are not split."""
     rng, asked, cut = random.Random(59), [], common.Spool.cut

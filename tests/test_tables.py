@@ -220,3 +220,14 @@ def test_texts_are_written_by_tasks_as_files_named_by_their_keys(spark, tmp_path
     assert sorted(f.name for f in (tmp_path / "texts").rglob("*") if f.is_file()) == ["a.txt", "b%2Fc%20d.txt", "d.e.txt"]
     got = {r.run_id: r.text for r in io.read_texts(spark, f"file://{tmp_path}/texts/*").collect()}
     assert got["a"] == rows_[0][1] and got["d.e"] == rows_[2][1] and sorted(len(x) for x in got.values()) == [2, 8, 70_000]
+
+
+def test_written_texts_are_listed_and_read_by_tasks(spark, tmp_path):
+    """No file of the set is listed by the driver; what a broken task left is passed over."""
+    texts = {"a": "one\r\ntwo", "b/c d": "é\x00", "_e.f": "x" * 70_000, "%": ""} | {str(i): str(i) for i in range(300)}
+    path = f"file://{tmp_path}/texts"
+    io.write_texts(spark.createDataFrame(list(texts.items()), "run_id string, text string").repartition(3), path)
+    (next((tmp_path / "texts").iterdir()) / ("_" + "0" * 32)).write_text("half")
+    got = io.read_written_texts(spark, path)
+    assert {r.run_id: r.text for r in got.collect()} == texts and got.count() == len(texts)
+    assert got.inputFiles() == [] and got.rdd.getNumPartitions() == io.FOLDERS

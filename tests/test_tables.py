@@ -231,3 +231,21 @@ def test_written_texts_are_listed_and_read_by_tasks(spark, tmp_path):
     got = io.read_written_texts(spark, path)
     assert {r.run_id: r.text for r in got.collect()} == texts and got.count() == len(texts)
     assert got.inputFiles() == [] and got.rdd.getNumPartitions() == io.FOLDERS
+
+
+def test_pairs_of_rows_are_not_shuffled(spark, monkeypatch):
+    """Scored pairs of texts become pairs of rows in the last stage, whatever is broadcast; null texts and long lists too."""
+    monkeypatch.setattr(U, "LISTED", 3)
+    c, r = _pair_tables(spark)
+    c = c.union(c.limit(5).withColumn("claim", F.lit(None).cast("string")))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = U.score_candidates(c, r)
+        columns = ["claim_id", "rule_idx", "claim", "rule_text", "rule_type", "contradiction", "entailment", "neutral"]
+        rows = lambda df: sorted(map(str, df.select(columns).collect()))
+        assert rows(got) == rows(U.score_pairs(U.candidate_pairs(c, r))) and len(got.columns) == len(set(got.columns))
+        last = got._jdf.queryExecution().sparkPlan().toString().split("Join")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert last.count("Generate inline") == 2

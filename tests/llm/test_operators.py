@@ -1014,3 +1014,23 @@ def test_unlike_lines_go_by_their_sketches(spark, monkeypatch):
     seen = line_dedup.verified
     monkeypatch.setattr(line_dedup, "verified", lambda links, *rest: asked.append(links.count()) or seen(links, *rest))
     assert removed(spark, lines) == set() and sum(asked) < 5_000
+
+
+def test_lm_passages_cover_texts():
+    """All words after the first context are in a passage, whatever the texts' sizes, and a part that two texts share is cut alike."""
+    np = __import__("numpy")
+    rng = np.random.default_rng(61)
+    sizes = np.array([0, 5, lm.CONTEXT + lm.PASSAGE - 1, lm.CONTEXT + lm.PASSAGE, 60, 1000, 3, 400, 0])
+    keys = rng.integers(0, 1 << 62, sizes.sum()).astype(np.uint64)
+    keys[-300:] = keys[200:500]  # the last text ends as the 1,000 words have it in their midst
+    at, context, passage = lm.passages(keys, sizes)
+    long, ends = lm.passage_sizes(at, sizes), np.cumsum(sizes)
+    covered = np.zeros(len(keys), int)
+    for x, k in zip(at, long):
+        covered[x : x + k] += 1
+        assert lm.PASSAGE <= k < 2 * lm.PASSAGE
+    for end, k in zip(ends, sizes):
+        want = [0] * min(k, lm.CONTEXT) + [1] * (k - lm.CONTEXT) if k >= lm.CONTEXT + lm.PASSAGE else [0] * k
+        assert covered[end - k : end].tolist() == want
+    of = {(c, p) for x, c, p in zip(at, context, passage) if 200 <= x < 500}
+    assert sum((c, p) in of for x, c, p in zip(at, context, passage) if x >= len(keys) - 300) >= 8
